@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 # member, a letter outside the basic plane, makes Java look back by code points.
 WORD = "a-zA-Z0-9_\\p{L}\\p{N}\U00020000"
 DIGIT = "\\p{Nd}"
-SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = (
+    "\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}"
+    "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+)
 NOT_AFTER_WORD = f"(?<![{WORD}])"
 NOT_BEFORE_WORD = f"(?![{WORD}])"
 EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
