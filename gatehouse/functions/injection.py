@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from string import ascii_letters, digits
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,15 @@ class Rule:
     name: str
     pattern: str  # Java pattern, searched in normalised lower-case text
     weight: int
+    # Every match holds one of these words; a plain search for them spares most texts the
+    # pattern. Empty: always try the pattern.
+    words: tuple[str, ...] = ()
+
+    def hits(self, text: Column) -> Column:
+        found = text.rlike(self.pattern)
+        if not self.words:
+            return found
+        return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in self.words]) & found
 
 
 # Names, patterns and weights of the rules, in reporting order. The repeated
@@ -28,28 +38,31 @@ RULES = (
         "(?:ignore|disregard|forget) (?:your |the |all |previous |prior )*+"
         "(?:instructions|prompts?|rules|everything)",
         2,
+        ("ignore", "disregard", "forget"),
     ),
-    Rule("fake-system", f"{NOT_AFTER_WORD}system[{SPACE}]*:", 2),
-    Rule("new-instructions", f"new instructions?[{SPACE}]*:", 2),
+    Rule("fake-system", f"{NOT_AFTER_WORD}system[{SPACE}]*:", 2, ("system",)),
+    Rule("new-instructions", f"new instructions?[{SPACE}]*:", 2, ("new instruction",)),
     Rule(
         "role-hijack",
         f"(?:you are now{NOT_BEFORE_WORD}|act as (?:an? |the )?(?:admin|root|developer|system))",
         2,
+        ("you are now", "act as "),
     ),
-    Rule("reveal-prompt", "reveal (?:your|the) (?:system )?prompt", 2),
-    Rule("exfil-explicit", "(?:exfiltrate|leak (?:the|all|internal))", 2),
-    Rule("send-to-target", "send (?:it|them|the|this|all)[^\\n]{0,60}(?:to|@)", 1),
+    Rule("reveal-prompt", "reveal (?:your|the) (?:system )?prompt", 2, ("reveal ",)),
+    Rule("exfil-explicit", "(?:exfiltrate|leak (?:the|all|internal))", 2, ("exfiltrate", "leak ")),
+    Rule("send-to-target", "send (?:it|them|the|this|all)[^\\n]{0,60}(?:to|@)", 1, ("send ",)),
     Rule(
         "urgency-override",
         "(?:before doing anything else|do this first|immediately and without)",
         1,
+        ("before doing anything else", "do this first", "immediately and without"),
     ),
-    Rule("tool-coercion", f"(?:use|call) the [{WORD}]+ tool", 1),
+    Rule("tool-coercion", f"(?:use|call) the [{WORD}]+ tool", 1, (" tool",)),
 )
 
 # Characters counted as hidden text, and what looks like an encoded payload.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
-ENCODED_BLOB = "[A-Za-z0-9+/]{40,}={0,2}"
+ENCODED_BLOB = f"[{ascii_letters}{digits}+/]{{40,}}={{0,2}}"
 
 HIDDEN_TEXT = "hidden-text"
 ENCODED_PAYLOAD = "encoded-payload"
@@ -64,11 +77,10 @@ NFKC_STABLE = (
 
 
 def strip_hidden(text: Column) -> Column:
-    return F.translate(text, ZERO_WIDTH, "")
-
-
-def hidden_count(text: Column) -> Column:
-    return F.length(text) - F.length(strip_hidden(text))
+    # Searching is much cheaper than translating, and most texts hold none. The first class
+    # rules out Latin text with one comparison per character.
+    some = text.rlike(f"[\\u200b-\\ufeff](?<=[{ZERO_WIDTH}])")
+    return F.when(some, F.translate(text, ZERO_WIDTH, "")).otherwise(text)
 
 
 def nfkc(text: Column) -> Column:
@@ -81,12 +93,12 @@ def nfkc(text: Column) -> Column:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     # Only the texts that could change are sent to Python: the others go as nulls.
-    suspect = F.when(text.rlike(f"[^{NFKC_STABLE}]"), text)
+    suspect = F.when(text.rlike(f"[^\\x00-\\x7f](?<![{NFKC_STABLE}])"), text)
     return F.coalesce(compose(suspect), text)
 
 
 def any_rule(text: Column, rules=RULES) -> Column:
-    return reduce(Column.__or__, [text.rlike(rule.pattern) for rule in rules])
+    return reduce(Column.__or__, [rule.hits(text) for rule in rules])
 
 
 def decoded_blobs(text: Column) -> Column:

@@ -1,20 +1,44 @@
 """Patterns for personal data."""
 
-from gatehouse.functions.text import DIGIT, EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD
+from string import ascii_uppercase, digits
+
+from gatehouse.functions.text import DIGIT, EDGE, NOT_BEFORE_WORD, WORD
+
+
+def first(chars: str, not_after: str) -> str:
+    """One of `chars`, not preceded by one of `not_after`.
+
+    The look-back comes second, so that it is tried only where a match could start.
+    """
+    return f"[{chars}](?<![{not_after}][{chars}])"
+
+
+UPPER = ascii_uppercase
+CODE = UPPER + digits
 
 # Kinds and patterns, in the order in which they are applied. The order
 # matters: an IBAN or a card holds digits that the phone pattern would take.
 PII_PATTERNS = (
     (
         "iban",
-        f"{NOT_AFTER_WORD}[A-Z]{{2}}{DIGIT}{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}"
-        f"(?:[ ]?[A-Z0-9]{{1,4}})?{NOT_BEFORE_WORD}",
+        f"{first(UPPER, WORD)}[{UPPER}][{DIGIT}]{{2}}(?:[ ]?[{CODE}]{{4}}){{2,7}}"
+        f"(?:[ ]?[{CODE}]{{1,4}})?{NOT_BEFORE_WORD}",
+    ),
+    (
+        "card",
+        f"{first(DIGIT, WORD)}[{DIGIT}]{{3}}[ -](?:[{DIGIT}]{{4}}[ -]){{2}}[{DIGIT}]{{4}}"
+        f"{NOT_BEFORE_WORD}",
+    ),
+    (
+        "email",
+        # A word edge: a word character after none, or another one after a word character.
+        f"(?:{first(WORD, WORD)}|[.+-](?<=[{WORD}][.+-]))[{WORD}.+-]*+@"
+        f"[{WORD}-]++\\.[{WORD}.-]+{EDGE}",
     ),
-    ("card", f"{NOT_AFTER_WORD}(?:{DIGIT}{{4}}[ -]){{3}}{DIGIT}{{4}}{NOT_BEFORE_WORD}"),
-    ("email", f"{EDGE}[{WORD}.+-]+@[{WORD}-]+\\.[{WORD}.-]+{EDGE}"),
     (
         "phone",
-        f"(?<![{WORD}/])\\+?{DIGIT}[{DIGIT} .-]{{7,14}}{DIGIT}(?![{WORD}/])",
+        f"(?:{first('+', WORD + '/')}[{DIGIT}]|{first(DIGIT, WORD + '/')})"
+        f"[{DIGIT} .-]{{7,14}}[{DIGIT}](?![{WORD}/])",
     ),
 )
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The rules were written for Unicode-aware `\w \d \s \b` and for a `.` that stops at \n
 # only. Java's shorthands differ (with and without its `U` flag), so the patterns spell the
-# classes out. ASCII comes first because the members of a class are tried in order. The last
-# member, a letter outside the basic plane, makes Java look back by code points.
-WORD = "a-zA-Z0-9_\\p{L}\\p{N}\U00020000"
-DIGIT = "\\p{Nd}"
+# classes out. ASCII members are listed one by one, which Java tests with a single look-up. The
+# last member of WORD, a letter outside the basic plane, makes Java look back by code points.
+WORD = f"{ascii_letters}{digits}_\\p{{L}}\\p{{N}}\U00020000"
+DIGIT = f"{digits}\\p{{Nd}}"
 SPACE = (
     "\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}"
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"

@@ -71,8 +71,9 @@ def seal(
     count = F.size("rows")
     return (
         segments.withColumn("hashes", running_hashes(F.col("rows"), start))
+        # The outer form: Spark would copy the whole computation into a filter on the inner one.
         .select(
-            F.inline(
+            F.inline_outer(
                 F.arrays_zip(
                     F.col("rows").alias("row"),
                     F.slice("hashes", F.lit(1), count).alias("prev_hash"),

@@ -20,11 +20,12 @@ def scan_injection(
     # One stage per costly value, so that each is computed once per row.
     staged = (
         docs.withColumn("_plain", I.strip_hidden(source))
-        .withColumn("_hidden", F.length(source) - F.length("_plain"))
+        .withColumn("_hidden", F.when(F.col("_plain") == source, 0)
+                    .otherwise(F.length(source) - F.length("_plain")))
         .withColumn("_low", F.lower(I.nfkc(F.col("_plain"))))
         .withColumn("_decoded", I.decoded_blobs(source))
     )
-    signals = [(rule.name, F.col("_low").rlike(rule.pattern), rule.weight) for rule in rules]
+    signals = [(rule.name, rule.hits(F.col("_low")), rule.weight) for rule in rules]
     signals += [
         (I.HIDDEN_TEXT, F.col("_hidden") >= settings.hidden_min, settings.hidden_weight),
         (
@@ -64,8 +65,10 @@ def neutralize(
 def rule_hits(scanned: DataFrame, *by: str) -> DataFrame:
     """How many texts each rule fired on, by the given columns."""
     # Few distinct groups, and partial sums before the shuffle: a hot source is no issue.
+    # The outer form, because Spark would copy the whole scan into a filter on the inner one.
     return (
-        scanned.select(*by, F.explode("matches").alias("rule"))
+        scanned.select(*by, F.explode_outer("matches").alias("rule"))
+        .filter(F.col("rule").isNotNull())
         .groupBy("rule", *by)
         .agg(F.count("*").alias("hits"))
     )

@@ -261,8 +261,13 @@ def session_events(answers: DataFrame, settings: Settings) -> DataFrame:
         ),
         event(end, 4, "final_answer", "trace", first_chars(F.col("text"), cut)),
     )
+    # The outer form: Spark would copy the sanitising into a filter on the inner one.
     return answers.select(
-        "session_id", "ts", "agent", F.lit(0).alias("latency_ms"), F.inline(F.array_compact(made))
+        "session_id",
+        "ts",
+        "agent",
+        F.lit(0).alias("latency_ms"),
+        F.inline_outer(F.array_compact(made)),
     )
 
 
