@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gatehouse.functions import policy_checks as P
 from gatehouse.functions.text import fill
 from gatehouse.operators.joins import broadcast_if_small, same_keys
+from gatehouse.session import stored
 from gatehouse.settings import DEFAULT, Settings
 
 # Spark limits a ranking before its shuffle up to this many rows per group
@@ -101,7 +102,11 @@ def largest_quota(policy: DataFrame) -> int:
 
 
 def with_quota(
-    checked: DataFrame, policy: DataFrame, session: list[str], order: list[str]
+    checked: DataFrame,
+    policy: DataFrame,
+    session: list[str],
+    order: list[str],
+    store: bool = False,
 ) -> DataFrame:
     """Adds `_exhausted`: the session had used up its quota before this call."""
     most = largest_quota(policy)
@@ -109,6 +114,8 @@ def with_quota(
     if most <= 0:
         return checked.withColumn("_exhausted", none_left)
     ends = last_allowed(checked, session, order, most)
+    if store:
+        ends = stored(ends, "session-ends")
     beyond = F.coalesce(F.struct(*order) > F.col("_last_allowed"), F.lit(False))
     return (
         checked.join(ends, same_keys(checked, ends, {s: f"_at_{s}" for s in session}), "left")
@@ -148,15 +155,21 @@ def authorize(
     order: tuple[str, ...] = ("seq",),
     strict: bool = True,
     settings: Settings = DEFAULT,
+    store: bool = False,
 ) -> DataFrame:
     """Adds `allowed` and `reason` to each call.
 
     `order` must be unique within a session. An agent without a policy is an error if
     `strict`; otherwise its calls are refused, and `unknown_agents` lists them.
+
+    With `store`, the sessions that use up their quota are written to the shared folder first.
+    Spark then knows how many there are: few of them are broadcast and the calls are not
+    shuffled at all. Otherwise, and if there are many, calls and sessions are shuffled, and
+    adaptive execution splits a session that holds too many calls.
     """
     checked = check_calls(calls, policy)
     return decide(
-        with_quota(checked, policy, list(session), list(order)), strict, settings
+        with_quota(checked, policy, list(session), list(order), store), strict, settings
     )
 
 

@@ -19,6 +19,7 @@ from gatehouse.operators.egress import sanitize_egress
 from gatehouse.operators.injection import scan_injection
 from gatehouse.operators.joins import same_keys
 from gatehouse.operators.pii import redact_pii
+from gatehouse.session import stored
 from gatehouse.settings import DEFAULT, Settings
 
 # Place of an event within its session; the request comes first, the answer last.
@@ -62,21 +63,28 @@ def govern(
     max_steps: int | None = None,
     strict: bool = True,
     settings: Settings = DEFAULT,
+    store: bool = False,
 ) -> GovernedRun:
-    """Schemas are in `schemas`; `requests` has one row per session."""
+    """Schemas are in `schemas`; `requests` has one row per session.
+
+    With `store`, the judged calls and the answers are written to the shared folder once, and
+    events and transcript are made from there. Worthwhile if more than one result is used.
+    """
     limit = settings.max_steps if max_steps is None else max_steps
     sessions = requests.select(
         "session_id", "agent", F.col("text").alias("request"), F.col("ts").alias("request_ts")
     ).join(session_ends(steps, limit), "session_id", "left")
 
-    calls = judge_calls(steps, sessions, policy, limit, strict, settings)
+    calls = judge_calls(steps, sessions, policy, limit, strict, settings, store)
     calls = fetch(calls, judge_documents(documents, settings), settings)
     answers = final_answers(sessions, limit, settings)
+    if store:
+        calls, answers = stored(calls, "calls"), stored(answers, "answers")
     return GovernedRun(
         calls=calls,
         answers=answers,
         events=call_events(calls).unionByName(session_events(answers, settings)),
-        transcript=transcript(calls, sessions, settings),
+        transcript=transcript(calls, answers, settings),
     )
 
 
@@ -87,6 +95,7 @@ def judge_calls(
     limit: int,
     strict: bool,
     settings: Settings,
+    store: bool,
 ) -> DataFrame:
     """Calls that were made before their session ended, with the policy's decision."""
     thin = sessions.select(
@@ -103,8 +112,9 @@ def judge_calls(
         "_session", "_end", "kind", "text", "request_ts"
     )
     order = ["step_no", "call_no"]
-    checked = with_quota(check_calls(made, policy), policy, ["session_id", "agent"], order)
-    return decide(checked, strict, settings).withColumnRenamed("reason", "policy_reason")
+    checked = check_calls(made, policy)
+    counted = with_quota(checked, policy, ["session_id", "agent"], order, store)
+    return decide(counted, strict, settings).withColumnRenamed("reason", "policy_reason")
 
 
 def judge_documents(documents: DataFrame, settings: Settings) -> DataFrame:
@@ -271,18 +281,18 @@ def session_events(answers: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def transcript(calls: DataFrame, sessions: DataFrame, settings: Settings) -> DataFrame:
+def transcript(calls: DataFrame, answers: DataFrame, settings: Settings) -> DataFrame:
     """What the model was shown, message by message, in the order of (step_no, call_no)."""
-    opening = sessions.select(
+    opening = answers.select(
         "session_id",
-        F.inline(
+        F.inline_outer(
             F.array(
                 _message(-2, "system", F.lit(settings.messages.system_prompt)),
                 _message(-1, "user", F.col("request")),
             )
         ),
     )
-    answers = calls.select(
+    outputs = calls.select(
         "session_id",
         "step_no",
         "call_no",
@@ -290,7 +300,7 @@ def transcript(calls: DataFrame, sessions: DataFrame, settings: Settings) -> Dat
         F.col("tool").alias("name"),
         F.col("message").alias("content"),
     )
-    return opening.unionByName(answers)
+    return opening.unionByName(outputs)
 
 
 def _message(step: int, role: str, content: Column) -> Column:
