@@ -5,7 +5,8 @@ chain from there on. Such a chain can only be written in sequence. The batch job
 starts a new chain every `segment_rows` ids, so that segments are sealed in parallel and no task
 ever holds more than one segment; a log shorter than a segment is one plain chain. The heads of
 the segments are chained in turn by `anchors`, level by level up to one root, which binds the
-segments together. `streaming.audit` writes unbroken chains, batch after batch.
+segments together. `streaming.audit.seal_stream` can also write one unbroken chain, batch after
+batch.
 
 Verification is parallel for both layouts: the costly hash needs only its own row, and the
 comparison with the row before runs within bounded blocks of ids.

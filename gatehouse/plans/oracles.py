@@ -440,10 +440,10 @@ SELECT min(n.id) AS id FROM v d JOIN v n
   ON n.id = d.id + 1 AND n.id // {SEGMENT_ROWS} = d.id // {SEGMENT_ROWS}
 WHERE d.id % 331 = 7 GROUP BY d.id"""),
     "chain_previous": audit_sql("SELECT id, lag(sha256(ts)) OVER (ORDER BY id) AS previous FROM v"),
-    "stream_seal": f"""WITH RECURSIVE {sealing("coalesce(session_id, 'None')")}
-SELECT nullif(chain, 'None') AS session_id, id, prev_hash, hash FROM sealed""",
 }
 
+CHAIN["stream_seal"] = CHAIN["chain_seal"]
+
 # Governed run
 
 CUT = DEFAULT.trace_limit

@@ -31,6 +31,7 @@ JOURNAL_DECISIONS = ("allow", "deny", "trace")
 JOURNAL_TOOLS = ("read_text_file", "write_file", "user_request")
 JOURNAL_SESSIONS = ("1", "2", "3", "5", "8", "13")
 SINCE = 400
+BATCH_ROWS = 1_000_000
 BUCKET_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -363,46 +364,58 @@ def ran(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def streamed(spark: SparkSession, sf_dir: str, rows: DataFrame, name: str) -> DataFrame:
+def streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """A stream over rows that are first written out as a table."""
     folder = shared_folder(spark, name)
     rows.write.parquet(folder)
     return read_stream(spark, folder, rows.schema)
 
 
+def arriving(spark: SparkSession, rows: DataFrame, order: str, name: str) -> DataFrame:
+    """A stream that delivers rows in order, at most BATCH_ROWS per batch.
+
+    Session state sees all rows of a session in one batch, so the batches must be bounded.
+    """
+    folder = shared_folder(spark, name)
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    for begin in range(first, last + 1, BATCH_ROWS):
+        batch = rows.filter(F.col(order).between(begin, begin + BATCH_ROWS - 1))
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, rows.schema, files_per_trigger=1)
+
+
 def stream_scan(spark, sf_dir):
-    docs = streamed(spark, sf_dir, view(spark, sf_dir, "v_docs"), "docs")
+    docs = streamed(spark, view(spark, sf_dir, "v_docs"), "docs")
     return verdicts(ran(spark, scan_injection(docs), "scan"))
 
 
 def stream_redact(spark, sf_dir):
-    docs = streamed(spark, sf_dir, view(spark, sf_dir, "v_pii"), "docs")
+    docs = streamed(spark, view(spark, sf_dir, "v_pii"), "docs")
     return ran(spark, redact_pii(docs), "redact").select("doc_id", "text", "total", "summary")
 
 
 def stream_egress(spark, sf_dir):
-    answers = streamed(spark, sf_dir, view(spark, sf_dir, "v_answers"), "answers")
+    answers = streamed(spark, view(spark, sf_dir, "v_answers"), "answers")
     found = ran(spark, sanitize_egress(answers), "egress")
     return found.select("conv_id", "turn", *SANITIZED)
 
 
 def stream_quota(spark, sf_dir):
     source = calls(spark, sf_dir).withColumn("ts", F.col("seq").cast("string"))
-    found = ran(
-        spark, authorize_stream(streamed(spark, sf_dir, source, "calls"), policy(spark)), "quota"
-    )
+    stream = arriving(spark, source, "seq", "calls")
+    found = ran(spark, authorize_stream(stream, policy(spark)), "quota")
     return found.select("session_id", "seq", "tool", "allowed", "reason")
 
 
 def stream_seal(spark, sf_dir):
     log = audit(spark, sf_dir).drop("event_ts")
-    found = ran(spark, seal_stream(streamed(spark, sf_dir, log, "log")), "seal")
-    return found.select("session_id", "id", "prev_hash", "hash")
+    found = ran(spark, seal_stream(streamed(spark, log, "log")), "seal")
+    return found.select("id", "prev_hash", "hash")
 
 
 def stream_kpis(spark, sf_dir):
     """Buckets that are final: the watermark has passed their end."""
-    log = streamed(spark, sf_dir, iso_log(spark, sf_dir), "log")
+    log = streamed(spark, iso_log(spark, sf_dir), "log")
     found = ran(spark, kpi_stream(log, "1 day", "1 hour"), "kpis")
     return found.withColumn("bucket", F.date_format("bucket", BUCKET_FORMAT))
 

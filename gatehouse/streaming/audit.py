@@ -1,4 +1,4 @@
-"""Streams of audit events: unbroken chains and key figures over time."""
+"""Streams of audit events: sealing and key figures over time."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatehouse.functions.event_hash import GENESIS, payload
+from gatehouse.operators.chain import SEGMENT_ROWS
 from gatehouse.operators.reports import timed_allow
 
 STATE = "last_hash string, last_id bigint"
@@ -23,7 +24,6 @@ def sealer(genesis: str):
         from hashlib import sha256
 
         head, last = state.get if state.exists else (genesis, None)
-        # A chain's rows of one batch; the source bounds the size of a batch.
         rows = pd.concat(list(batches)).sort_values("id", kind="stable")
         previous, hashes, late = [], [], []
         for place, rest in zip(rows["id"], rows["payload"]):
@@ -37,17 +37,23 @@ def sealer(genesis: str):
             hashes.append(head)
             last = place
         state.update((head, int(last)))
-        yield rows.drop(columns="payload").assign(prev_hash=previous, hash=hashes, late=late)
+        yield rows.drop(columns=["payload", "_chain"]).assign(prev_hash=previous, hash=hashes, late=late)
 
     return seal
 
 
-def seal_stream(events: DataFrame, chain: str = "session_id") -> DataFrame:
+def seal_stream(
+    events: DataFrame, segment_rows: int = SEGMENT_ROWS, chain: str | None = None
+) -> DataFrame:
     """Adds `prev_hash`, `hash` and `late` to a stream of events.
 
-    There is one unbroken chain per value of `chain`, continued from batch to batch. A
-    constant column gives the one chain over the whole log, which is sealed in sequence. Ids of
-    a chain must arrive in order over batches; a late event stays unsealed and is marked.
+    Without `chain` the result is that of the batch job: one chain per `segment_rows` ids, so
+    that no group is larger, whatever one batch holds. With `chain`, a column, there is one
+    unbroken chain per value of it, continued from batch to batch; a constant gives the one
+    chain over the whole log. Such a chain is sealed in sequence, a batch at a time: bound the
+    batches with `files_per_trigger`.
+
+    Ids of a chain must arrive in order over batches; a late event stays unsealed and is marked.
     """
     fields = [f for f in events.schema.fields if f.name not in ("prev_hash", "hash")]
     added = [
@@ -55,8 +61,10 @@ def seal_stream(events: DataFrame, chain: str = "session_id") -> DataFrame:
         T.StructField("hash", T.StringType()),
         T.StructField("late", T.BooleanType()),
     ]
-    rows = events.select(*[f.name for f in fields]).withColumn("payload", payload())
-    return rows.groupBy(chain).applyInPandasWithState(
+    key = F.col(chain) if chain else F.expr(f"id div {segment_rows}")
+    rows = events.select(*[f.name for f in fields])
+    rows = rows.withColumns({"payload": payload(), "_chain": key})
+    return rows.groupBy("_chain").applyInPandasWithState(
         sealer(GENESIS),
         T.StructType(fields + added),
         STATE,
