@@ -101,27 +101,29 @@ def largest_quota(policy: DataFrame) -> int:
     return policy.agg(F.max("max_calls_per_session")).first()[0] or 0
 
 
-def with_quota(
+def quota_ends(
     checked: DataFrame,
     policy: DataFrame,
     session: list[str],
     order: list[str],
     store: bool = False,
 ) -> DataFrame:
-    """Adds `_exhausted`: the session had used up its quota before this call."""
-    most = largest_quota(policy)
-    none_left = F.coalesce(F.col("_max_calls") <= 0, F.lit(False))
-    if most <= 0:
-        return checked.withColumn("_exhausted", none_left)
-    ends = last_allowed(checked, session, order, most)
-    if store:
-        ends = stored(ends, "session-ends")
-    beyond = F.coalesce(F.struct(*order) > F.col("_last_allowed"), F.lit(False))
-    return (
-        checked.join(ends, same_keys(checked, ends, {s: f"_at_{s}" for s in session}), "left")
-        .withColumn("_exhausted", none_left | beyond)
-        .drop("_last_allowed", *[f"_at_{name}" for name in session])
-    )
+    """`last_allowed` for the quotas of a policy table, written out first if `store`."""
+    ends = last_allowed(checked, session, order, max(largest_quota(policy), 0))
+    return stored(ends, "session-ends") if store else ends
+
+
+def exhausted(order: list[str]) -> Column:
+    """Whether the session had used up its quota before this call."""
+    none_left = F.col("_max_calls") <= 0
+    beyond = F.struct(*order) > F.col("_last_allowed")
+    return F.coalesce(none_left, F.lit(False)) | F.coalesce(beyond, F.lit(False))
+
+
+def join_ends(rows: DataFrame, ends: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Adds `_last_allowed`; `keys` names the columns that hold the session."""
+    pairs = {mine: f"_at_{name}" for name, mine in keys.items()}
+    return rows.join(ends, same_keys(rows, ends, pairs), "left").drop(*pairs.values())
 
 
 def refusal(exhausted: Column, strict: bool = True, settings: Settings = DEFAULT) -> Column:
@@ -138,13 +140,15 @@ def refusal(exhausted: Column, strict: bool = True, settings: Settings = DEFAULT
     )
 
 
-def decide(checked: DataFrame, strict: bool = True, settings: Settings = DEFAULT) -> DataFrame:
-    """Adds `allowed` and `reason`."""
+def decide(
+    checked: DataFrame, order: list[str], strict: bool = True, settings: Settings = DEFAULT
+) -> DataFrame:
+    """Adds `allowed` and `reason` to checked calls that know the end of their quota."""
     return (
-        checked.withColumn("_refusal", refusal(F.col("_exhausted"), strict, settings))
+        checked.withColumn("_refusal", refusal(exhausted(order), strict, settings))
         .withColumn("allowed", F.col("_refusal").isNull())
         .withColumn("reason", F.coalesce("_refusal", F.lit(settings.messages.ok)))
-        .drop(*CHECKS, "_exhausted", "_refusal")
+        .drop(*CHECKS, "_last_allowed", "_refusal")
     )
 
 
@@ -168,9 +172,9 @@ def authorize(
     adaptive execution splits a session that holds too many calls.
     """
     checked = check_calls(calls, policy)
-    return decide(
-        with_quota(checked, policy, list(session), list(order), store), strict, settings
-    )
+    ends = quota_ends(checked, policy, list(session), list(order), store)
+    with_ends = join_ends(checked, ends, {name: name for name in session})
+    return decide(with_ends, list(order), strict, settings)
 
 
 def unknown_agents(calls: DataFrame, policy: DataFrame) -> DataFrame:

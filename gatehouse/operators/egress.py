@@ -26,12 +26,12 @@ def sanitize_egress(
     texts = settings.messages
     rows = answers.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     stages = (
-        (REMOTE_IMAGE, texts.image_marker, "images_removed"),
-        (LINK_WITH_QUERY, texts.link_marker, "_links"),
-        (URL_WITH_QUERY, texts.link_marker, "_urls"),
+        (REMOTE_IMAGE, texts.image_marker, "images_removed", "]("),
+        (LINK_WITH_QUERY, texts.link_marker, "_links", "]("),
+        (URL_WITH_QUERY, texts.link_marker, "_urls", "://"),
     )
-    for pattern, mark, count in stages:
-        rows = replace_counted(rows, text, pattern, mark, count, needed="://")
+    for pattern, mark, count, needed in stages:
+        rows = replace_counted(rows, text, pattern, mark, count, needed)
     rows = redact_pii(rows, text, patterns, settings)
     counters = ("images_removed", "links_removed", "pii_redacted")
     parts = [

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.policy_checks import argument
 from gatehouse.functions.text import fill, first_chars
-from gatehouse.operators.authorize import check_calls, decide, with_quota
+from gatehouse.operators.authorize import check_calls, decide, join_ends, quota_ends
 from gatehouse.operators.egress import sanitize_egress
 from gatehouse.operators.injection import scan_injection
 from gatehouse.operators.joins import same_keys
@@ -98,23 +98,37 @@ def judge_calls(
     store: bool,
 ) -> DataFrame:
     """Calls that were made before their session ended, with the policy's decision."""
+    order = ["step_no", "call_no"]
     thin = sessions.select(
         F.col("session_id").alias("_session"),
         "agent",
         "request_ts",
         F.coalesce("end.step_no", F.lit(limit)).alias("_end"),
     )
+    # Two passes over the calls. The first finds where quotas end and moves narrow rows only.
+    # What it finds goes to the sessions, so that the second joins each call just once.
+    ends = quota_ends(
+        check_calls(calls_made(steps, thin, limit), policy),
+        policy,
+        ["session_id", "agent"],
+        order,
+        store,
+    )
+    thin = join_ends(thin, ends, {"session_id": "_session", "agent": "agent"})
+    checked = check_calls(calls_made(steps, thin, limit), policy)
+    return decide(checked, order, strict, settings).withColumnRenamed("reason", "policy_reason")
+
+
+def calls_made(steps: DataFrame, thin: DataFrame, limit: int) -> DataFrame:
+    """Calls proposed before the end of their session, with what is known of the session."""
     proposed = steps.filter((F.col("kind") == "tool_call") & (F.col("step_no") < limit))
-    made = proposed.join(thin, same_keys(proposed, thin, {"session_id": "_session"}), "left")
+    joined = proposed.join(thin, same_keys(proposed, thin, {"session_id": "_session"}), "left")
     # A session without a request has no agent; the policy check reports it.
-    made = made.filter(F.col("step_no") < F.coalesce("_end", F.lit(limit)))
-    made = made.withColumn("ts", F.coalesce("ts", "request_ts")).drop(
-        "_session", "_end", "kind", "text", "request_ts"
+    return (
+        joined.filter(F.col("step_no") < F.coalesce("_end", F.lit(limit)))
+        .withColumn("ts", F.coalesce("ts", "request_ts"))
+        .drop("_session", "_end", "kind", "text", "request_ts")
     )
-    order = ["step_no", "call_no"]
-    checked = check_calls(made, policy)
-    counted = with_quota(checked, policy, ["session_id", "agent"], order, store)
-    return decide(counted, strict, settings).withColumnRenamed("reason", "policy_reason")
 
 
 def judge_documents(documents: DataFrame, settings: Settings) -> DataFrame:

@@ -262,7 +262,7 @@ EGRESS = {
 
 # Injection scan
 
-# Name, pattern and weight of the rules in DuckDB's dialect.
+# Name, pattern and weight of the rules, in DuckDB's dialect.
 RULES = (
     (
         "override-instructions",
