@@ -10,6 +10,8 @@ calls are never collected by session.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,32 @@ SALTS = 64
 CHECKS = ("_known", "_denied", "_unlisted", "_traverses", "_tag", "_max_calls")
 
 
-def check_calls(calls: DataFrame, policy: DataFrame) -> DataFrame:
-    """Adds the outcome of each check that needs only the call and its policy."""
-    rules = broadcast_if_small(
-        policy.select(
-            "agent",
-            F.col("allowed_tools").alias("_allowed"),
-            F.col("denied_tools").alias("_denied_tools"),
-            F.col("max_calls_per_session").alias("_max_calls"),
-            F.col("deny_path_tags").alias("_tags"),
-            F.lit(True).alias("_known"),
-        )
+@dataclass(frozen=True)
+class Rules:
+    """A policy table made ready for joins, and its largest quota (0 if there is none)."""
+
+    table: DataFrame
+    largest_quota: int
+
+
+def prepare(policy: DataFrame) -> Rules:
+    """Reads two numbers from the policy table: its size and its largest quota."""
+    rows, most = policy.agg(F.count("*"), F.max("max_calls_per_session")).first()
+    table = policy.select(
+        "agent",
+        F.col("allowed_tools").alias("_allowed"),
+        F.col("denied_tools").alias("_denied_tools"),
+        F.col("max_calls_per_session").alias("_max_calls"),
+        F.col("deny_path_tags").alias("_tags"),
+        F.lit(True).alias("_known"),
     )
+    return Rules(broadcast_if_small(table, rows), max(most or 0, 0))
+
+
+def check_calls(calls: DataFrame, rules: Rules) -> DataFrame:
+    """Adds the outcome of each check that needs only the call and its policy."""
     return (
-        calls.join(rules, "agent", "left")
+        calls.join(rules.table, "agent", "left")
         .withColumn("_known", F.coalesce("_known", F.lit(False)))
         .withColumn("_denied", P.deny_listed(F.col("tool"), F.col("_denied_tools")))
         .withColumn("_unlisted", P.not_allow_listed(F.col("tool"), F.col("_allowed")))
@@ -96,20 +110,11 @@ def last_allowed(
     )
 
 
-def largest_quota(policy: DataFrame) -> int:
-    """One number from the policy table, 0 if nothing has a quota."""
-    return policy.agg(F.max("max_calls_per_session")).first()[0] or 0
-
-
 def quota_ends(
-    checked: DataFrame,
-    policy: DataFrame,
-    session: list[str],
-    order: list[str],
-    store: bool = False,
+    checked: DataFrame, rules: Rules, session: list[str], order: list[str], store: bool = False
 ) -> DataFrame:
     """`last_allowed` for the quotas of a policy table, written out first if `store`."""
-    ends = last_allowed(checked, session, order, max(largest_quota(policy), 0))
+    ends = last_allowed(checked, session, order, rules.largest_quota)
     return stored(ends, "session-ends") if store else ends
 
 
@@ -171,12 +176,13 @@ def authorize(
     shuffled at all. Otherwise, and if there are many, calls and sessions are shuffled, and
     adaptive execution splits a session that holds too many calls.
     """
-    checked = check_calls(calls, policy)
-    ends = quota_ends(checked, policy, list(session), list(order), store)
+    rules = prepare(policy)
+    checked = check_calls(calls, rules)
+    ends = quota_ends(checked, rules, list(session), list(order), store)
     with_ends = join_ends(checked, ends, {name: name for name in session})
     return decide(with_ends, list(order), strict, settings)
 
 
 def unknown_agents(calls: DataFrame, policy: DataFrame) -> DataFrame:
     """Calls of agents without a policy."""
-    return calls.join(broadcast_if_small(policy.select("agent")), "agent", "left_anti")
+    return calls.join(prepare(policy).table.select("agent"), "agent", "left_anti")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 
 
-def broadcast_if_small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """Marks a config table for broadcast if it has at most `most` rows.
+def broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
+    """Marks a config table for broadcast if it has at most SMALL_ROWS rows.
 
-    The check reads no more than `most + 1` rows. A larger table stays unmarked: the join
-    then shuffles, and adaptive execution splits the keys that hold too many rows.
+    A larger one stays unmarked: the join then shuffles, and adaptive execution splits the
+    keys that hold too many rows.
     """
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    return F.broadcast(table) if rows <= SMALL_ROWS else table
 
 
 def spread(rows: DataFrame) -> DataFrame:

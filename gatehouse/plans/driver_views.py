@@ -111,18 +111,21 @@ FROM {{conversations}} WHERE role = 'assistant'""",
 TABLES = ("events", "documents", "conversations", "pages")
 
 
-# Searching texts is work for all cores, however few row groups hold them.
+# Searching texts and checking arguments is work for all cores, however few row groups hold
+# the rows.
 TEXT_TABLES = ("documents", "conversations", "pages")
+CALL_VIEWS = ("v_calls", "v_steps")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, busy: bool = False) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return spread(rows) if busy or name in TEXT_TABLES else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
-    used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
+    busy = name in CALL_VIEWS
+    used = {t: table(spark, sf_dir, t, busy) for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.policy_checks import argument
 from gatehouse.functions.text import fill, first_chars
-from gatehouse.operators.authorize import check_calls, decide, join_ends, quota_ends
+from gatehouse.operators.authorize import check_calls, decide, join_ends, prepare, quota_ends
 from gatehouse.operators.egress import sanitize_egress
 from gatehouse.operators.injection import scan_injection
 from gatehouse.operators.joins import same_keys
@@ -107,15 +107,16 @@ def judge_calls(
     )
     # Two passes over the calls. The first finds where quotas end and moves narrow rows only.
     # What it finds goes to the sessions, so that the second joins each call just once.
+    rules = prepare(policy)
     ends = quota_ends(
-        check_calls(calls_made(steps, thin, limit), policy),
-        policy,
+        check_calls(calls_made(steps, thin, limit), rules),
+        rules,
         ["session_id", "agent"],
         order,
         store,
     )
     thin = join_ends(thin, ends, {"session_id": "_session", "agent": "agent"})
-    checked = check_calls(calls_made(steps, thin, limit), policy)
+    checked = check_calls(calls_made(steps, thin, limit), rules)
     return decide(checked, order, strict, settings).withColumnRenamed("reason", "policy_reason")
 
 

@@ -312,7 +312,7 @@ def chain_bad_links(spark, sf_dir):
 
 def chain_previous(spark, sf_dir):
     """The hash that precedes each event in the whole log, across all segments."""
-    rows = sealed(spark, sf_dir).select("id", F.sha2(F.col("ts"), 256).alias("hash"))
+    rows = audit(spark, sf_dir).select("id", F.sha2(F.col("ts"), 256).alias("hash"))
     return chain.with_previous(rows, "id", "hash").select("id", "previous")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gatehouse.operators.authorize import check_calls, eligible, refusal
+from gatehouse.operators.authorize import check_calls, eligible, prepare, refusal
 from gatehouse.settings import DEFAULT, Settings
 
 KEPT = "session_id string, seq bigint, ts string, agent string, tool string"
@@ -47,7 +47,7 @@ def authorize_stream(
     good, because an idle session that lost it would get a fresh quota.
     """
     # Spark decides everything but the count, once for either state of the quota.
-    narrow = check_calls(calls, policy).select(
+    narrow = check_calls(calls, prepare(policy)).select(
         "session_id",
         "seq",
         "ts",

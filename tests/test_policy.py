@@ -178,7 +178,7 @@ def test_random_sessions_equal_the_sequential_walk(spark, monkeypatch, early_lim
 
 
 def test_ranking_is_limited_before_the_shuffle(spark, policy):
-    checked = A.check_calls(rows(spark, [(READ, "a")] * 20), policy)
+    checked = A.check_calls(rows(spark, [(READ, "a")] * 20), A.prepare(policy))
     ends = A.last_allowed(checked, ["session_id", "agent"], ["seq"], 10)
     plan = ends._jdf.queryExecution().executedPlan().toString()
     first, last = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
