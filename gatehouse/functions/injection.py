@@ -62,7 +62,10 @@ RULES = (
 
 # Characters counted as hidden text, and what looks like an encoded payload.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
-ENCODED_BLOB = f"[{ascii_letters}{digits}+/]{{40,}}={{0,2}}"
+ENCODED = f"{ascii_letters}{digits}+/"
+ENCODED_BLOB = f"[{ENCODED}]{{40,}}={{0,2}}"
+# Matches a whole text without any such run.
+NO_BLOB = f"\\A(?:[{ENCODED}]{{0,39}}+[^{ENCODED}])*+[{ENCODED}]{{0,39}}+\\z"
 
 HIDDEN_TEXT = "hidden-text"
 ENCODED_PAYLOAD = "encoded-payload"
@@ -76,10 +79,15 @@ NFKC_STABLE = (
 )
 
 
+def not_ascii(text: Column) -> Column:
+    """Whether a text holds more than ASCII; only then the next two steps can change it."""
+    return F.length(text) != F.octet_length(text)
+
+
 def strip_hidden(text: Column) -> Column:
     # Searching is much cheaper than translating, and most texts hold none. The first class
     # rules out Latin text with one comparison per character.
-    some = text.rlike(f"[\\u200b-\\ufeff](?<=[{ZERO_WIDTH}])")
+    some = not_ascii(text) & text.rlike(f"[\\u200b-\\ufeff](?<=[{ZERO_WIDTH}])")
     return F.when(some, F.translate(text, ZERO_WIDTH, "")).otherwise(text)
 
 
@@ -93,8 +101,8 @@ def nfkc(text: Column) -> Column:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     # Only the texts that could change are sent to Python: the others go as nulls.
-    suspect = F.when(text.rlike(f"[^\\x00-\\x7f](?<![{NFKC_STABLE}])"), text)
-    return F.coalesce(compose(suspect), text)
+    unstable = not_ascii(text) & text.rlike(f"[^\\x00-\\x7f](?<![{NFKC_STABLE}])")
+    return F.coalesce(compose(F.when(unstable, text)), text)
 
 
 def any_rule(text: Column, rules=RULES) -> Column:
@@ -103,10 +111,11 @@ def any_rule(text: Column, rules=RULES) -> Column:
 
 def decoded_blobs(text: Column) -> Column:
     """Texts hidden in base64 blobs, lower-cased; what is not strictly valid is left out."""
-    blobs = F.filter(
-        F.regexp_extract_all(text, F.lit(ENCODED_BLOB), F.lit(0)), lambda b: F.length(b) % 4 == 0
-    )
-    texts = F.transform(blobs, lambda b: F.try_to_binary(b, F.lit("base64")).cast("string"))
+    found = F.regexp_extract_all(text, F.lit(ENCODED_BLOB), F.lit(0))
+    # The guard reads each character once; most texts need no more.
+    blobs = F.when(text.rlike(NO_BLOB), F.array().cast("array<string>")).otherwise(found)
+    whole = F.filter(blobs, lambda b: F.length(b) % 4 == 0)
+    texts = F.transform(whole, lambda b: F.try_to_binary(b, F.lit("base64")).cast("string"))
     return F.transform(
         F.filter(texts, lambda t: F.coalesce(F.is_valid_utf8(t), F.lit(False))), F.lower
     )

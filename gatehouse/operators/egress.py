@@ -31,7 +31,8 @@ def sanitize_egress(
         (URL_WITH_QUERY, texts.link_marker, "_urls", "://"),
     )
     for pattern, mark, count, needed in stages:
-        rows = replace_counted(rows, text, pattern, mark, count, needed)
+        likely = F.contains(F.col(text), F.lit(needed))
+        rows = replace_counted(rows, text, pattern, mark, count, likely)
     rows = redact_pii(rows, text, patterns, settings)
     counters = ("images_removed", "links_removed", "pii_redacted")
     parts = [

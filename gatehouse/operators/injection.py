@@ -18,11 +18,12 @@ def scan_injection(
     """Adds `safe`, `score`, `matches` and `reason`."""
     source = F.coalesce(F.col(text), F.lit(""))
     # One stage per costly value, so that each is computed once per row.
+    plain = F.col("_plain")
+    hidden = F.when(plain == source, 0).otherwise(F.length(source) - F.length(plain))
     staged = (
         docs.withColumn("_plain", I.strip_hidden(source))
-        .withColumn("_hidden", F.when(F.col("_plain") == source, 0)
-                    .otherwise(F.length(source) - F.length("_plain")))
-        .withColumn("_low", F.lower(I.nfkc(F.col("_plain"))))
+        .withColumn("_low", F.lower(I.nfkc(plain)))
+        .withColumn("_hidden", hidden)
         .withColumn("_decoded", I.decoded_blobs(source))
     )
     signals = [(rule.name, rule.hits(F.col("_low")), rule.weight) for rule in rules]

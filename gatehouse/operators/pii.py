@@ -8,19 +8,28 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.pii import NEEDED, PII_PATTERNS, marker
+from gatehouse.functions.pii import (
+    NUMBER_KINDS,
+    NUMBER_START,
+    PII_PATTERNS,
+    marker,
+    may_match,
+)
 from gatehouse.functions.text import fill, listed
 from gatehouse.settings import DEFAULT, Settings
 
 
 def replace_counted(
-    rows: DataFrame, column: str, pattern: str, mark: str, count: str, needed: str | None = None
+    rows: DataFrame, column: str, pattern: str, mark: str, count: str, likely: Column | None
 ) -> DataFrame:
-    """Replaces the matches in `column` by `mark` and puts their number into `count`."""
+    """Replaces the matches in `column` by `mark` and puts their number into `count`.
+
+    Texts for which `likely` is false are known to hold no match.
+    """
     before = F.col(column)
     after = F.regexp_replace(before, F.lit(pattern), F.lit(mark))
-    if needed:
-        after = F.when(F.contains(before, F.lit(needed)), after).otherwise(before)
+    if likely is not None:
+        after = F.when(likely, after).otherwise(before)
     # Only texts that changed are searched a second time, for the count.
     number = F.when(F.col("_after") == before, 0).otherwise(F.regexp_count(before, F.lit(pattern)))
     return (
@@ -41,14 +50,16 @@ def redact_pii(
 
     Each pattern works on what the one before has left.
     """
+    kinds = [kind for kind, _ in patterns]
     rows = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    if set(kinds) & set(NUMBER_KINDS):
+        rows = rows.withColumn("_number", F.col(text).rlike(NUMBER_START))
     for kind, pattern in patterns:
-        rows = replace_counted(
-            rows, text, pattern, marker(kind), f"n_{kind}", NEEDED.get(kind)
-        )
-    kinds = [kind for kind, _ in patterns]
+        likely = may_match(kind, F.col(text), F.col("_number"))
+        rows = replace_counted(rows, text, pattern, marker(kind), f"n_{kind}", likely)
     return (
-        rows.withColumn("counts", _counts(kinds))
+        rows.drop("_number")
+        .withColumn("counts", _counts(kinds))
         .withColumn("total", reduce(add, [F.col(f"n_{kind}") for kind in kinds]))
         .withColumn("summary", _summary(kinds, settings))
     )
