@@ -37,11 +37,17 @@ def last_id(log: DataFrame) -> int:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Appends a batch; missing columns get their defaults."""
+    """Appends a batch; missing columns get their defaults.
+
+    Rows are laid out by day and id: a task writes to few days, a busy day is split over many
+    tasks, and each file covers a short range of ids, so that readers can skip most files.
+    """
     day = F.coalesce(F.to_date(F.try_to_timestamp("ts")), F.lit("1970-01-01").cast("date"))
     (
         upgrade(events)
         .withColumn("event_date", day)
+        .repartitionByRange("event_date", "id")
+        .sortWithinPartitions("event_date", "id")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(path)
