@@ -55,11 +55,15 @@ def check_calls(calls: DataFrame, rules: Rules) -> DataFrame:
     """Adds the outcome of each check that needs only the call and its policy."""
     return (
         calls.join(rules.table, "agent", "left")
-        .withColumn("_known", F.coalesce("_known", F.lit(False)))
-        .withColumn("_denied", P.deny_listed(F.col("tool"), F.col("_denied_tools")))
-        .withColumn("_unlisted", P.not_allow_listed(F.col("tool"), F.col("_allowed")))
-        .withColumn("_traverses", P.traverses(F.col("args")))
-        .withColumn("_tag", P.first_forbidden_tag(F.col("args"), F.col("_tags")))
+        .withColumns(
+            {
+                "_known": F.coalesce("_known", F.lit(False)),
+                "_denied": P.deny_listed(F.col("tool"), F.col("_denied_tools")),
+                "_unlisted": P.not_allow_listed(F.col("tool"), F.col("_allowed")),
+                "_traverses": P.traverses(F.col("args")),
+                "_tag": P.first_forbidden_tag(F.col("args"), F.col("_tags")),
+            }
+        )
         .drop("_allowed", "_denied_tools", "_tags")
     )
 
@@ -151,8 +155,12 @@ def decide(
     """Adds `allowed` and `reason` to checked calls that know the end of their quota."""
     return (
         checked.withColumn("_refusal", refusal(exhausted(order), strict, settings))
-        .withColumn("allowed", F.col("_refusal").isNull())
-        .withColumn("reason", F.coalesce("_refusal", F.lit(settings.messages.ok)))
+        .withColumns(
+            {
+                "allowed": F.col("_refusal").isNull(),
+                "reason": F.coalesce("_refusal", F.lit(settings.messages.ok)),
+            }
+        )
         .drop(*CHECKS, "_last_allowed", "_refusal")
     )
 

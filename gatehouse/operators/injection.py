@@ -21,10 +21,13 @@ def scan_injection(
     plain = F.col("_plain")
     hidden = F.when(plain == source, 0).otherwise(F.length(source) - F.length(plain))
     staged = (
-        docs.withColumn("_plain", I.strip_hidden(source))
-        .withColumn("_low", F.lower(I.nfkc(plain)))
-        .withColumn("_hidden", hidden)
-        .withColumn("_decoded", I.decoded_blobs(source))
+        docs.withColumn("_plain", I.strip_hidden(source)).withColumns(
+            {
+                "_low": F.lower(I.nfkc(plain)),
+                "_hidden": hidden,
+                "_decoded": I.decoded_blobs(source),
+            }
+        )
     )
     signals = [(rule.name, rule.hits(F.col("_low")), rule.weight) for rule in rules]
     signals += [

@@ -34,8 +34,7 @@ def replace_counted(
     number = F.when(F.col("_after") == before, 0).otherwise(F.regexp_count(before, F.lit(pattern)))
     return (
         rows.withColumn("_after", after)
-        .withColumn(count, number)
-        .withColumn(column, F.col("_after"))
+        .withColumns({count: number, column: F.col("_after")})
         .drop("_after")
     )
 
@@ -59,8 +58,12 @@ def redact_pii(
         rows = replace_counted(rows, text, pattern, marker(kind), f"n_{kind}", likely)
     return (
         rows.drop("_number")
-        .withColumn("counts", _counts(kinds))
-        .withColumn("total", reduce(add, [F.col(f"n_{kind}") for kind in kinds]))
+        .withColumns(
+            {
+                "counts": _counts(kinds),
+                "total": reduce(add, [F.col(f"n_{kind}") for kind in kinds]),
+            }
+        )
         .withColumn("summary", _summary(kinds, settings))
     )
 

@@ -170,36 +170,31 @@ def fetch(calls: DataFrame, judged: DataFrame, settings: Settings) -> DataFrame:
         .when(~F.col("_safe"), "firewall")
         .otherwise("allow")
     )
+    full_reason = by_decision(
+        deny=F.col("policy_reason"),
+        error=failure,
+        firewall=F.col("_scan_reason"),
+        allow=F.coalesce("_pii_summary", F.lit(texts.ok)),
+    )
+    full, shown = F.col("full_reason"), F.col("_shown")
+    cut = first_chars(full, settings.trace_limit)
     return (
         joined.withColumn("decision", decision)
-        .withColumn(
-            "full_reason",
-            by_decision(
-                deny=F.col("policy_reason"),
-                error=failure,
-                firewall=F.col("_scan_reason"),
-                allow=F.coalesce("_pii_summary", F.lit(texts.ok)),
-            ),
-        )
-        .withColumn(
-            "reason",
-            F.when(
-                F.col("decision") == "error", first_chars(F.col("full_reason"), settings.trace_limit)
-            ).otherwise(F.col("full_reason")),
-        )
-        .withColumn(
-            "message",
-            by_decision(
-                deny=fill(texts.blocked_message, "full_reason"),
-                error=fill(texts.error_message, "full_reason"),
-                firewall=F.col("_shown"),
-                allow=F.col("_shown"),
-            ),
-        )
-        .withColumn("pii_redacted", by_decision(allow=F.col("_pii"), otherwise=F.lit(0)))
-        .withColumn(
-            "latency_ms",
-            by_decision(deny=F.lit(0), otherwise=F.coalesce("latency_ms", F.lit(0))),
+        .withColumn("full_reason", full_reason)
+        .withColumns(
+            {
+                "reason": F.when(F.col("decision") == "error", cut).otherwise(full),
+                "message": by_decision(
+                    deny=fill(texts.blocked_message, full),
+                    error=fill(texts.error_message, full),
+                    firewall=shown,
+                    allow=shown,
+                ),
+                "pii_redacted": by_decision(allow=F.col("_pii"), otherwise=F.lit(0)),
+                "latency_ms": by_decision(
+                    deny=F.lit(0), otherwise=F.coalesce("latency_ms", F.lit(0))
+                ),
+            }
         )
         .drop("_key", "_path", "_safe", "_scan_reason", "_pii", "_pii_summary", "_shown")
     )
