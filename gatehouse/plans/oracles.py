@@ -15,6 +15,7 @@ from gatehouse.operators.chain import FAN, SEGMENT_ROWS
 from gatehouse.plans import queries as Q
 from gatehouse.plans.driver_views import view_sql
 from gatehouse.settings import DEFAULT
+from gatehouse.sources.audit_log import SHOWN
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY
 
 TEXTS = DEFAULT.messages
@@ -80,7 +81,7 @@ FROM v WHERE decision IN {CHARTED} GROUP BY decision ORDER BY position"""),
     "latency_by_tool": audit_sql(f"""
 SELECT tool, avg(latency_ms) AS latency_ms FROM v WHERE {TIMED}
 GROUP BY tool ORDER BY latency_ms DESC, tool"""),
-    "newest_events": audit_sql(f"SELECT id, {', '.join(Q.SHOWN)} FROM v ORDER BY id DESC"),
+    "newest_events": audit_sql(f"SELECT id, {', '.join(SHOWN)} FROM v ORDER BY id DESC"),
     "security_feed": audit_sql(f"""
 SELECT id, tool, upper({label_sql()}) AS label, reason FROM v
 WHERE decision IN ('deny', 'firewall', 'egress', 'error') ORDER BY id DESC"""),

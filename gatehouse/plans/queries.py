@@ -18,7 +18,7 @@ from gatehouse.plans.driver_views import table, view, with_args
 from gatehouse.plans.governed import GovernedRun, govern
 from gatehouse.schemas import STEPS
 from gatehouse.session import shared_folder
-from gatehouse.sources.audit_log import SHOWN, count_events, events_since, newest_first, upgrade
+from gatehouse.sources.audit_log import count_events, events_since, newest_first, upgrade
 from gatehouse.sources.documents import join_blocks
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY, policy_from_config
 from gatehouse.streaming.audit import kpi_stream, seal_stream
