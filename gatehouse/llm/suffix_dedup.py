@@ -37,6 +37,8 @@ GRAM = 18
 FEW = 8
 #: Bytes of text for each bucket of the sort.
 BUCKET_BYTES = 12_000_000
+#: Bytes of text whose segments a task holds at a time.
+HELD_BYTES = 4_000_000
 
 _FOUND = "doc_id long, rid long, code long"
 _SENT = "bucket int, doc_id long, rid long, code long, body binary"
@@ -158,16 +160,19 @@ def _answer(table: pa.Table, *parts) -> pa.Table:
     return pa.concat_tables([known, *own])
 
 
-def _columns(batch: pa.RecordBatch):
-    data, offsets, _ = ta.flat(batch.column("text"))
-    doc_id = batch.column("doc_id").fill_null(0).to_numpy()
-    return data, offsets, doc_id, batch.column("rid").to_numpy()
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(rows, bytes, offsets, doc_id, rid) of batches cut down to HELD_BYTES of text."""
+    for batch in batches:
+        _, offsets, _ = ta.flat(batch.column("text"))
+        for a, b in ta.pieces(offsets, HELD_BYTES):
+            rows = batch.slice(a, b - a)
+            data, own, _ = ta.flat(rows.column("text"))
+            yield rows, data, own, rows.column("doc_id").fill_null(0).to_numpy(), rows.column("rid").to_numpy()
 
 
 def _first_pass(depth: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets, doc_id, rid = _columns(batch)
+        for _, data, offsets, doc_id, rid in _held(batches):
             if (got := _batch_segments(data, offsets, depth, gram)) is None:
                 continue
             doc = doc_id[got[0]]
@@ -224,9 +229,8 @@ def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _second_pass(depth: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets, doc_id, rid = _columns(batch)
-            text, code = _runs(batch.column("codes"))
+        for rows, data, offsets, doc_id, rid in _held(batches):
+            text, code = _runs(rows.column("codes"))
             text, code = text[code & 1 == 1], code[code & 1 == 1]
             length = (code >> 1) & 127
             first = np.repeat(np.cumsum(length) - length, length)
@@ -268,8 +272,7 @@ def _cut(depth: int, names: list[str]):
     """Takes the covered bytes out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets, _ = ta.flat(batch.column("text"))
+        for batch, data, offsets, *_ in _held(batches):
             marks = [_runs(batch.column(c)) for c in ("codes", "more_codes")]
             text, code = (np.concatenate(x) for x in zip(*marks, strict=True))
             text, code = text[code & 1 == 0], code[code & 1 == 0]
@@ -334,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = second.groupBy("doc_id", "rid").agg(F.collect_list("code").alias("more_codes"))
     names = ["doc_id", "others"]
     ready = marked.join(more, ["doc_id", "rid"], "left").select(
-        "doc_id", "others", "text", F.coalesce("codes", nothing).alias("codes"), F.coalesce("more_codes", nothing).alias("more_codes")
+        "doc_id", "rid", "others", "text", F.coalesce("codes", nothing).alias("codes"), F.coalesce("more_codes", nothing).alias("more_codes")
     )
     kinds = f"doc_id long, others {texts.schema['others'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
     return ready.mapInArrow(_cut(depth, names), kinds)
