@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm.jaccard_join import similar_classes
 from gatehouse.llm.suffix_dedup import remove_repeats
+from gatehouse.llm.tables import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

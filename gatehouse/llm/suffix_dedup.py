@@ -29,21 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm import text_arrays as ta
-from gatehouse.session import stored
+from gatehouse.llm.tables import finished
 
 #: Bytes of the first digit; at most the depth.
 GRAM = 18
 #: Segments with one gram that a batch sends on; the windows of others go to pass three.
 FEW = 8
 #: Bytes of text for each bucket of the sort.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 32_000_000
 #: Bytes of text whose segments a task holds at a time.
 HELD_BYTES = 4_000_000
 
-_FOUND = "doc_id long, rid long, code long"
-_SENT = "bucket int, doc_id long, rid long, code long, body binary"
+_FOUND = "doc_id long, rid int, code long"
+_SENT = "bucket int, doc_id long, rid int, code long, body binary"
 _ARROW = pa.schema(
-    [("bucket", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("code", pa.int64()), ("body", pa.binary())]
+    [("bucket", pa.int32()), ("doc_id", pa.int64()), ("rid", pa.int32()), ("code", pa.int64()), ("body", pa.binary())]
 )
 
 
@@ -112,21 +112,33 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _send(keys: np.ndarray, bits: int, doc_id, rid, text, **columns) -> Iterator[pa.RecordBatch]:
-    """One row per bucket of hash ranges, with its arrays packed; texts in order."""
+def _send(keys: np.ndarray, bits: int, doc_id, rid, text, start, **columns) -> Iterator[pa.RecordBatch]:
+    """One row per bucket of hash ranges, with its arrays packed: texts named once, in order."""
     if not len(keys):
         return
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
-    order = np.lexsort((text, bucket))
-    bucket = bucket[order]
+    order = np.lexsort((start, text, bucket))
+    bucket, text, start = bucket[order], text[order], start[order]
     cuts = np.flatnonzero(_firsts(bucket)).tolist() + [len(bucket)]
+    heads = _firsts(bucket, text)
+    steps = np.diff(start, prepend=0)
+    steps[heads] = start[heads]
     bodies = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        mine = order[a:b]
-        used, local = np.unique(text[mine], return_inverse=True)
-        bodies.append(pickle.dumps((doc_id[used], rid[used], local.astype(np.int32), {k: v[mine] for k, v in columns.items()}), protocol=5))
+        at = np.flatnonzero(heads[a:b])
+        used = text[a:b][at]
+        counts = np.diff(np.append(at, b - a))
+        packed = [_narrow(counts), _narrow(steps[a:b]), {k: v[order[a:b]] for k, v in columns.items()}]
+        bodies.append(pickle.dumps((doc_id[used], rid[used], *packed), protocol=5))
     none = pa.nulls(len(bodies), pa.int64())
-    yield pa.record_batch([pa.array(bucket[cuts[:-1]]), none, none, none, pa.array(bodies, pa.binary())], schema=_ARROW)
+    yield pa.record_batch(
+        [pa.array(bucket[cuts[:-1]]), none, none.cast(pa.int32()), none, pa.array(bodies, pa.binary())], schema=_ARROW
+    )
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
 
 
 def _settled(doc_id, rid, code, bits: int) -> Iterator[pa.RecordBatch]:
@@ -141,22 +153,25 @@ def _settled(doc_id, rid, code, bits: int) -> Iterator[pa.RecordBatch]:
 
 
 def _received(table: pa.Table):
-    """Entries of a bucket: doc_id, rid and the packed columns."""
-    heads, columns = ([], []), {}
+    """Entries of a bucket: doc_id, rid, start and the other packed columns."""
+    parts, columns = ([], [], []), {}
     for packed in table.column("body").drop_null().to_pylist():
-        doc_id, rid, local, more = pickle.loads(packed)
-        heads[0].append(doc_id[local])
-        heads[1].append(rid[local])
+        doc_id, rid, counts, steps, more = pickle.loads(packed)
+        total = np.cumsum(steps.astype(np.int64))
+        before = np.cumsum(counts.astype(np.int64)) - counts
+        base = total[before] - steps[before]
+        for part, values in zip(parts, (np.repeat(doc_id, counts), np.repeat(rid, counts), total - np.repeat(base, counts)), strict=True):
+            part.append(values)
         for k, v in more.items():
             columns.setdefault(k, []).append(v)
-    if not heads[0]:
+    if not parts[0]:
         return None
-    return np.concatenate(heads[0]), np.concatenate(heads[1]), {k: np.concatenate(v) for k, v in columns.items()}
+    return *(np.concatenate(x) for x in parts), {k: np.concatenate(v) for k, v in columns.items()}
 
 
 def _answer(table: pa.Table, *parts) -> pa.Table:
     known = table.filter(table.column("body").is_null()).select(["doc_id", "rid", "code"])
-    own = [pa.table({"doc_id": pa.array(d, pa.int64()), "rid": pa.array(r, pa.int64()), "code": pa.array(c, pa.int64())}) for d, r, c in parts]
+    own = [pa.table({"doc_id": pa.array(d, pa.int64()), "rid": pa.array(r, pa.int32()), "code": pa.array(c, pa.int64())}) for d, r, c in parts]
     return pa.concat_tables([known, *own])
 
 
@@ -193,7 +208,10 @@ def _first_pass(depth: int, gram: int, bits: int):
             sent = ~later & (rank < FEW)
             # A length of 0 asks for no answer: those windows are open already.
             asked = np.where(many, 0, length)[sent].astype(np.uint8)
-            yield from _send(grams[sent], bits, doc_id, rid, text[sent], gram=grams[sent], segment=segment[sent], start=start[sent], length=asked)
+            # The bucket tells the first bits of the gram, this its last 32; a rare mix-up only
+            # opens windows that need not be.
+            low = grams[sent].astype(np.uint32)
+            yield from _send(grams[sent], bits, doc_id, rid, text[sent], start[sent], gram=low, segment=segment[sent], length=asked)
 
     return run
 
@@ -201,10 +219,10 @@ def _first_pass(depth: int, gram: int, bits: int):
 def _first_sort(table: pa.Table) -> pa.Table:
     if (got := _received(table)) is None:
         return _answer(table)
-    doc, rid, more = got
+    doc, rid, start, more = got
     order = np.lexsort((doc, more["segment"], more["gram"]))
-    doc, rid = doc[order], rid[order]
-    grams, segment, start, length = (more[k][order] for k in ("gram", "segment", "start", "length"))
+    doc, rid, start = doc[order], rid[order], start[order]
+    grams, segment, length = (more[k][order] for k in ("gram", "segment", "length"))
     new_gram = _firsts(grams)
     new = new_gram | _firsts(segment)
     heads, gram_no = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
@@ -252,7 +270,7 @@ def _second_pass(depth: int, bits: int):
             later = doc > doc[new][np.cumsum(new) - 1]
             yield from _settled(doc[later], rid[text[later]], _codes(at[later], 1, False), bits)
             sent = ~later
-            yield from _send(keys[sent], bits, doc_id, rid, text[sent], key=keys[sent], start=at[sent].astype(np.int64))
+            yield from _send(keys[sent], bits, doc_id, rid, text[sent], at[sent], key=keys[sent])
 
     return run
 
@@ -260,9 +278,9 @@ def _second_pass(depth: int, bits: int):
 def _second_sort(table: pa.Table) -> pa.Table:
     if (got := _received(table)) is None:
         return _answer(table)
-    doc, rid, more = got
+    doc, rid, start, more = got
     order = np.lexsort((doc, more["key"]))
-    doc, rid, keys, start = doc[order], rid[order], more["key"][order], more["start"][order]
+    doc, rid, start, keys = doc[order], rid[order], start[order], more["key"][order]
     new = _firsts(keys)
     later = doc > doc[new][np.cumsum(new) - 1]
     return _answer(table, (doc[later], rid[later], _codes(start[later], 1, False)))
@@ -314,11 +332,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, and neither is earlier than the other. Texts shorter than `depth` stay whole. An empty
     table gives an empty result.
     """
+    # Rows that repeat an identifier are told apart by a hash of their text, rid.
     gram = min(GRAM, depth)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(id_col, text_col).alias("rid"),
+        F.hash(text_col).alias("rid"),
         F.col(text_col).alias("text"),
         (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")).alias("others"),
     )
@@ -327,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(6, math.ceil(math.log2(n_bytes / BUCKET_BYTES + 1)))
 
     first = numbered.mapInArrow(_first_pass(depth, gram, bits), _SENT).groupBy("bucket").applyInArrow(_first_sort, _FOUND)
-    found = stored(first.groupBy("doc_id", "rid").agg(F.collect_list("code").alias("codes")), "segments")
+    found = finished(first.groupBy("doc_id", "rid").agg(F.collect_list("code").alias("codes")), "segments")
 
     # The same shuffle of the texts serves the second pass and the result, so both take the
     # same columns and rows from it.
