@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatehouse.llm import language_id, quality_rules
+from gatehouse.llm.chat_format import calls_of_turns, linked_messages
+from gatehouse.llm.embedding_dedup import near_duplicates
 from gatehouse.llm.jaccard_join import similar_classes
+from gatehouse.llm.sharding import shuffled_shards
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches
 
@@ -17,6 +21,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_fold(id_col: str = "doc_id"):
+    """Whether a document is held out from learning languages."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~_in_fold()))
+    judged = language_id.language_of(spark, F.col("text"), model)
+    return docs.select("doc_id", _in_fold().alias("held_out"), judged.alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffled_shards(_table(spark, sf_dir, "documents"), shards=24).drop("row")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
@@ -26,9 +50,24 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
+    kept = quality_rules.passes(quality_rules.BASE)
+    return rows.withColumns({"base_failed": ~kept, "kept": kept & quality_rules.passes(quality_rules.CURRENT)})
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_messages(*calls_of_turns(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op4_sharding": op4_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {}
