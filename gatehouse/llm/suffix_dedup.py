@@ -78,7 +78,8 @@ def _segments(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
     place = place[starts]
     # Where in the segment the gram stands belongs to the key.
     segment = ta.mix(ta.span_hash(sums, starts, ends + depth) + (place - starts).astype(np.uint64))
-    return text[starts], starts, ends - starts + 1, grams[place], segment
+    # Hashes that won are small; mixed once more they spread over all buckets.
+    return text[starts], starts, ends - starts + 1, ta.mix(grams[place] + np.uint64(1)), segment
 
 
 def _blocks(offsets: np.ndarray, depth: int) -> Iterator[tuple[int, int, int, int]]:
