@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,14 @@ def finished(rows: DataFrame, name: str) -> DataFrame:
     """Rows written to the shared folder and read back, when a costly step ends with them.
 
     Nothing needs the shuffle files behind them any more. Spark deletes those once the driver's
-    garbage collector has run, so it is asked to run now, not in half an hour.
+    garbage collector has found them, so it is asked to run now, not in half an hour; and once
+    more when the last events of the job, which still name it, have been handled.
     """
     spark = rows.sparkSession
     table = stored(rows, name)
     del rows
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
     return table
