@@ -19,6 +19,8 @@ _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -93,12 +95,22 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the first word of each text."""
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and the two-byte letters from U+00C0 to U+00DE."""
+    low = _LOWER[data]
+    low[1:] += 32 * ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)).astype(np.uint8)
+    return low
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and the first word of each text.
+
+    `separator` names other bytes that end a word.
+    """
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     outside = np.ones(n + 1, bool)
     outside[1:] = ~inside
     starts = np.flatnonzero(inside & (outside[:-1] | edge[:-1]))
