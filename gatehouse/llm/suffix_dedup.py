@@ -49,7 +49,11 @@ _ARROW = pa.schema(
 
 def _codes(start: np.ndarray, length, is_open: bool) -> np.ndarray:
     """A run of windows: where it starts, how many, and whether they are still open."""
-    return (start.astype(np.int64) << 8) | (np.asarray(length, np.int64) << 1) | int(is_open)
+    return (start.astype(np.int64) << 16) | (np.asarray(length, np.int64) << 1) | int(is_open)
+
+
+def _length(code: np.ndarray) -> np.ndarray:
+    return (code >> 1) & 0x7FFF
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, depth: int, gram: int):
@@ -208,7 +212,7 @@ def _first_pass(depth: int, gram: int, bits: int):
             yield from _settled(doc[known], rid[text[known]], _codes(start[known], length[known], True), bits)
             sent = ~later & (rank < FEW)
             # A length of 0 asks for no answer: those windows are open already.
-            asked = np.where(many, 0, length)[sent].astype(np.uint8)
+            asked = _narrow(np.where(many, 0, length)[sent])
             # The bucket tells the first bits of the gram, this its last 32; a rare mix-up only
             # opens windows that need not be.
             low = grams[sent].astype(np.uint32)
@@ -251,9 +255,9 @@ def _second_pass(depth: int, bits: int):
         for rows, data, offsets, doc_id, rid in _held(batches):
             text, code = _runs(rows.column("codes"))
             text, code = text[code & 1 == 1], code[code & 1 == 1]
-            length = (code >> 1) & 127
+            length = _length(code)
             first = np.repeat(np.cumsum(length) - length, length)
-            at = np.repeat(code >> 8, length) + np.arange(length.sum()) - first
+            at = np.repeat(code >> 16, length) + np.arange(length.sum()) - first
             text = np.repeat(text, length)
             where = offsets[text] + at
             order = np.argsort(where, kind="stable")
@@ -287,23 +291,26 @@ def _second_sort(table: pa.Table) -> pa.Table:
     return _answer(table, (doc[later], rid[later], _codes(start[later], 1, False)))
 
 
-def _cut(depth: int, names: list[str]):
-    """Takes the covered bytes out of each text."""
+def _cut(depth: int, names: list[str], whole: bool):
+    """Takes the covered bytes out of each text, or only characters that are covered whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets, *_ in _held(batches):
             marks = [_runs(batch.column(c)) for c in ("codes", "more_codes")]
             text, code = (np.concatenate(x) for x in zip(*marks, strict=True))
             text, code = text[code & 1 == 0], code[code & 1 == 0]
-            start = offsets[text] + (code >> 8)
+            start = offsets[text] + (code >> 16)
             gone = np.zeros(len(data) + 1, bool)
             if len(start):
                 # Steps up where covered windows begin and down where their last byte ends.
                 steps = np.zeros(len(data) + 1, np.int32)
                 np.add.at(steps, start, 1)
-                np.add.at(steps, start + ((code >> 1) & 127) - 1 + depth, -1)
+                np.add.at(steps, start + _length(code) - 1 + depth, -1)
                 gone = np.cumsum(steps) > 0
             gone = gone[:-1]
+            if whole and len(data):
+                first = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data))))
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             heads = offsets[:-1][np.diff(offsets) > 0]
@@ -311,22 +318,24 @@ def _cut(depth: int, names: list[str]):
             removed, spans = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins))
             kept = data[~gone]
             ends = offsets - removed
-            whole = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+            rest = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
             yield pa.record_batch(
-                [*(batch.column(n) for n in names), whole.cast(pa.binary()), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans))],
+                [*(batch.column(n) for n in names), rest.cast(pa.binary()), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans))],
                 names=[*names, "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, whole_characters: bool = False) -> DataFrame:
     """Each document without the bytes of any `depth`-byte string that starts in an earlier one.
 
     Returns one row per input row: doc_id, kept (binary, the remaining bytes), n_bytes,
     n_removed, n_spans (maximal removed runs), and `others`, a struct of all other columns of
     the input under their own names, whatever these are (null if there are none).
 
+    With `whole_characters`, characters that are covered in part stay, so kept is valid text.
+
     Earlier means a smaller identifier. Matches never cross documents, overlaps count, and
     strings are judged on the input. A null text counts as empty. A row without identifier
     neither removes nor loses anything. Rows that repeat an identifier are documents of their
@@ -360,4 +369,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "rid", "others", "text", F.coalesce("codes", nothing).alias("codes"), F.coalesce("more_codes", nothing).alias("more_codes")
     )
     kinds = f"doc_id long, others {texts.schema['others'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
-    return ready.mapInArrow(_cut(depth, names), kinds)
+    return ready.mapInArrow(_cut(depth, names, whole_characters), kinds)
