@@ -11,6 +11,7 @@ from gatehouse.llm import language_id, mixing, quality_rules, sentencepiece, tox
 from gatehouse.llm.chat_format import calls_of_turns, linked_messages
 from gatehouse.llm.embedding_dedup import near_duplicates
 from gatehouse.llm.jaccard_join import similar_classes
+from gatehouse.llm.oracles import ORACLES as ORACLES
 from gatehouse.llm.sharding import shuffled_shards
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches, finished
@@ -90,7 +91,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_messages(*calls_of_turns(_table(spark, sf_dir, "conversations")))
+    rows = linked_messages(*calls_of_turns(_table(spark, sf_dir, "conversations")))
+    return rows.withColumn("problems", F.array_join("problems", ","))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -105,5 +107,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
-
-ORACLES: dict[str, str] = {}
