@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 
-TABLES = ("events", "documents", "conversations", "pages")
+TABLES = ("events", "documents", "conversations", "pages", "embeddings", "labels", "benchmark")
 
 
 def database(sf_dir):
