@@ -86,13 +86,14 @@ def _tile_pairs(low: np.ndarray, high: np.ndarray, first: np.ndarray, second: np
     return zip(*(x.tolist() for x in np.nonzero(near)), strict=True)
 
 
-def _compare_groups(axes: np.ndarray, threshold: float):
+def _compare_groups(axes: np.ndarray, threshold: float, groups: int):
     dim = len(axes)
     lead, more = max(dim // 4, 1), max(dim // 2, 1)
     # Rounding of single precision in the first bound.
     slack = 1e-5 * max(1.0, dim / 256)
 
     def run(table: pa.Table) -> pa.Table:
+        pair = table.column("pair")[0].as_py()
         vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
         rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
@@ -110,7 +111,7 @@ def _compare_groups(axes: np.ndarray, threshold: float):
         low = np.array([turned[a:b, : min(4, dim)].min(axis=0) for a, b in tiles])
         high = np.array([turned[a:b, : min(4, dim)].max(axis=0) for a, b in tiles])
         split = sum(a < left for a, _ in tiles)
-        alone = split == len(tiles)
+        alone = pair // groups == pair % groups
         first = np.arange(split)
         second = first if alone else np.arange(split, len(tiles))
 
@@ -192,7 +193,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             lambda p: F.struct((F.least(p, "group") * groups + F.greatest(p, "group")).cast("long").alias("pair"), (p < F.col("group")).cast("int").alias("side")),
         )
         dealt = own.withColumn("group", group.cast("int")).select("rep", "copies", "vector", F.explode(partners).alias("p")).select("p.*", "rep", "copies", "vector")
-        links = dealt.groupBy("pair").applyInArrow(_compare_groups(axes, threshold), _LINKS)
+        links = dealt.groupBy("pair").applyInArrow(_compare_groups(axes, threshold, groups), _LINKS)
         found = links if found is None else found.union(links)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], _LINKS)
