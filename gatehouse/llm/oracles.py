@@ -56,11 +56,11 @@ net AS (
 walk AS (
   SELECT row, row >> bits AS l, row & ((1::BIGINT << bits) - 1) AS r, 0 AS k FROM numbered, net
   UNION ALL
-  SELECT row, r, xor(l, (((r + {[s for _, s in _KEYS]}[k % 4 + 1]) % {PRIME} * {[f for f, _ in _KEYS]}[k % 4 + 1] % {PRIME}) >> 7) & ((1::BIGINT << bits) - 1)), k + 1
-  FROM walk, net WHERE NOT (k > 0 AND k % 4 = 0 AND ((l << bits) | r) < n)
+  SELECT row, r, xor(l, (((r + {[s for _, s in _KEYS]}[k % {len(_KEYS)} + 1]) % {PRIME} * {[f for f, _ in _KEYS]}[k % {len(_KEYS)} + 1] % {PRIME}) >> 7) & ((1::BIGINT << bits) - 1)), k + 1
+  FROM walk, net WHERE NOT (k > 0 AND k % {len(_KEYS)} = 0 AND ((l << bits) | r) < n)
 ),
 placed AS (
-  SELECT row, (l << bits) | r AS place FROM walk, net WHERE k > 0 AND k % 4 = 0 AND ((l << bits) | r) < n
+  SELECT row, (l << bits) | r AS place FROM walk, net WHERE k > 0 AND k % {len(_KEYS)} = 0 AND ((l << bits) | r) < n
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place % 24)::INT AS shard, place // 24 AS slot, NULL::INT AS grown_shard
 FROM numbered JOIN placed USING (row)

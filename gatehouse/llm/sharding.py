@@ -20,7 +20,7 @@ PRIME = 2_147_483_647
 RANGE_ROWS, RANGES = 500_000, 64
 
 
-def round_keys(seed: int, rounds: int = 4) -> list[tuple[int, int]]:
+def round_keys(seed: int, rounds: int = 6) -> list[tuple[int, int]]:
     """Multiplier and summand of each round, from the seed."""
     state, keys = seed % PRIME, []
     for _ in range(rounds):
@@ -46,7 +46,7 @@ def permuted(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
     while len(todo):
         left, right = out[todo] >> bits, out[todo] & low
         for factor, summand in round_keys(seed):
-            # The high digits of the product mix best; the low ones follow the input.
+            # The low digits of a product follow those of its factors, so higher ones are taken.
             left, right = right, left ^ (((right + summand) % PRIME * factor % PRIME) >> 7 & low)
         out[todo] = (left << bits) | right
         todo = todo[out[todo] >= n]
