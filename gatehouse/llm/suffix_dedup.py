@@ -147,12 +147,13 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _settled(doc_id, rid, code, bits: int) -> Iterator[pa.RecordBatch]:
-    """What a batch knows by itself goes through the same exchange, dealt out by text."""
+    """What a batch knows by itself goes through the same exchange, dealt out evenly."""
+    bucket = (ta.mix(doc_id.astype(np.uint64) + code.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32)
     for at in range(0, len(code), 1 << 18):
         part = slice(at, at + (1 << 18))
         n = len(code[part])
         yield pa.record_batch(
-            [pa.array((rid[part] & ((1 << bits) - 1)).astype(np.int32)), pa.array(doc_id[part]), pa.array(rid[part]), pa.array(code[part]), pa.nulls(n, pa.binary())],
+            [pa.array(bucket[part]), pa.array(doc_id[part]), pa.array(rid[part]), pa.array(code[part]), pa.nulls(n, pa.binary())],
             schema=_ARROW,
         )
 
