@@ -168,11 +168,12 @@ def _index(bits: int, percent: int):
             size = n[row].astype(np.int32)
             bucket = (token >> np.uint64(64 - bits)).astype(np.int32)
             at = np.flatnonzero(many)
+            spread = (ta.mix(token + own.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32)
             for k in range(0, len(at), 1 << 18):
                 mine = at[k : k + (1 << 18)]
                 yield pa.record_batch(
                     [
-                        pa.array((own[mine] & ((1 << bits) - 1)).astype(np.int32)),
+                        pa.array(spread[mine]),
                         *(pa.array(x[mine]) for x in (token.view(np.int64), own, size, place.astype(np.int32))),
                         pa.nulls(len(mine), pa.binary()),
                     ],
