@@ -267,7 +267,9 @@ def _entries(index: DataFrame, side: str, *more: str) -> DataFrame:
 
 def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) links that connect all classes which are similar, not every pair of them."""
-    leaders = index.groupBy("token").agg(F.min(F.struct("n", "sig", "place")).alias("x"))
+    # The entry at the first place leads: few shingles of its set are rarer than the common one, so
+    # it has few that are its own, and it is close to the middle of a group of near copies.
+    leaders = index.groupBy("token").agg(F.min(F.struct("place", "n", "sig")).alias("x"))
     leaders = leaders.select("token", F.col("x.sig").alias("a"), F.col("x.n").alias("na"), F.col("x.place").alias("pa"))
     led = stored(
         _entries(index, "b")
