@@ -41,8 +41,7 @@ class Pieces:
     """
 
     def __init__(self, spelled: list[bytes | None], scores: list[float], byte_ids: np.ndarray):
-        self.spelled = spelled
-        self.byte_ids = byte_ids
+        self.spelled, self.scores, self.byte_ids = spelled, scores, byte_ids
         nodes: list[dict[int, int]] = [{}]
         ends: dict[int, int] = {}
         for piece, word in enumerate(spelled):
@@ -72,6 +71,10 @@ class Pieces:
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(w or b"" for w in spelled), np.uint8)
 
+    def __reduce__(self):
+        # The vocabulary travels, half a megabyte; each worker builds the trie from it.
+        return Pieces, (self.spelled, self.scores, self.byte_ids)
+
 
 def load(path: str, scores: str = "rank") -> Pieces:
     """The vocabulary of a model file.
