@@ -83,11 +83,11 @@ def test_security_feed_and_replay(spark):
             ("final_answer", "trace", 0, "s", 0),
         ],
     )
-    assert [r.label for r in R.security_feed(rows).collect()] == ["BLOQUÉ (POLICY)"]
+    assert [r.label for r in R.security_feed(rows).collect()] == ["REFUSED BY POLICY"]
     assert [(r.id, r.label) for r in R.replay_view(rows).collect()] == [
-        (1, "Bloqué (policy)"),
+        (1, "Refused by policy"),
         (2, "other"),
-        (3, "RÉPONSE"),
+        (3, "ANSWER"),
     ]
 
 
