@@ -5,7 +5,9 @@ chain from there on. Such a chain can only be written in sequence. The batch job
 starts a new chain every `segment_rows` ids, so that segments are sealed in parallel and no task
 ever holds more than one segment; a log shorter than a segment is one plain chain. The heads of
 the segments are chained in turn by `anchors`, level by level up to one root, which binds the
-segments together. `streaming.audit.seal_stream` can also write one unbroken chain, batch after
+segments together. Every append writes the anchors of its segments, and `verify_log` holds the log
+against them, so that a lost row is found wherever it stood: inside a segment, at its border, in a
+cut-off tail or in a segment that is gone as a whole. `streaming.audit.seal_stream` can also write one unbroken chain, batch after
 batch.
 
 Verification is parallel for both layouts: the costly hash needs only its own row, and the
@@ -220,3 +222,87 @@ def verify_anchors(
     return mine.join(theirs, ["level", "block"], "full").filter(
         ~F.col("found").eqNullSafe(F.col("stored"))
     )
+
+
+def segment_anchors(log: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The anchors of level 1 alone: what each segment holds, and its head."""
+    return (
+        log.filter(F.col("hash").isNotNull())
+        .groupBy(F.expr(f"id div {segment_rows}").alias("block"))
+        .agg(
+            F.count("*").alias("rows"),
+            F.min("id").alias("first_id"),
+            F.max("id").alias("last_id"),
+            F.max_by("hash", "id").alias("head"),
+        )
+    )
+
+
+def newest_anchors(written: DataFrame) -> DataFrame:
+    """One anchor per segment: the last one written. A segment only grows."""
+    newest = F.max_by(F.struct("rows", "first_id", "last_id", "head"), "last_id")
+    return written.groupBy("block").agg(newest.alias("a")).select("block", "a.*")
+
+
+def findings(log: DataFrame, anchored: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """(id, kind) of all damage to a log whose sealed rows have consecutive ids.
+
+    `anchored` are the newest anchors. kind is `edited` for a row whose hash or link is wrong,
+    `missing` for the first lost id of a gap, `unanchored` for a row beyond its anchor.
+    """
+    segment = F.expr(f"id div {segment_rows}")
+    own = log.filter(F.col("hash").isNotNull()).select(
+        "id",
+        segment.alias("block"),
+        "prev_hash",
+        "hash",
+        F.col("hash").eqNullSafe(event_hash(F.col("prev_hash"), payload())).alias("intact"),
+    )
+    # A segment has at most `segment_rows` rows.
+    within = Window.partitionBy("block").orderBy("id")
+    rows = (
+        own.withColumns(
+            {
+                "before": F.lag("id").over(within),
+                "previous": F.lag("hash").over(within),
+                "after": F.lead("id").over(within),
+            }
+        )
+        .join(anchored.select("block", "first_id", "last_id", "head"), "block", "left")
+        .withColumn("expected", F.coalesce(F.col("before") + 1, F.col("first_id"), F.col("id")))
+    )
+    gap = F.col("id") > F.col("expected")
+    linked = F.col("prev_hash").eqNullSafe(F.coalesce("previous", F.lit(GENESIS)))
+    last = F.col("after").isNull()
+    headless = last & (F.col("id") == F.col("last_id")) & (F.col("hash") != F.col("head"))
+    beyond = F.col("last_id").isNull() | (F.col("id") > F.col("last_id"))
+
+    def found(when: Column, number: Column, kind: str) -> Column:
+        return F.when(when, F.struct(number.alias("id"), F.lit(kind).alias("kind")))
+
+    in_rows = rows.select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    found(gap, F.col("expected"), "missing"),
+                    found(~F.col("intact") | (~gap & ~linked) | headless, F.col("id"), "edited"),
+                    found(last & (F.col("id") < F.col("last_id")), F.col("id") + 1, "missing"),
+                    found(beyond, F.col("id"), "unanchored"),
+                )
+            )
+        ).alias("f")
+    ).select("f.*")
+    lost = anchored.join(own.select("block").distinct(), "block", "left_anti").select(
+        F.col("first_id").alias("id"), F.lit("missing").alias("kind")
+    )
+    return in_rows.unionByName(lost)
+
+
+def verify_log(log: DataFrame, anchored: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """One row: `ok`, `checked` (sealed rows) and `first_bad_id`, edited or missing."""
+    bad = findings(log, anchored, segment_rows).agg(F.min("id").alias("first_bad_id"))
+    checked = log.filter(F.col("hash").isNotNull()).agg(F.count("*").alias("checked"))
+    # One row each.
+    return checked.join(F.broadcast(bad), F.lit(True)).select(
+        F.col("first_bad_id").isNull().alias("ok"), "checked", "first_bad_id"
+    )

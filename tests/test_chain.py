@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.event_hash import GENESIS
 from gatehouse.operators import chain as C
-from gatehouse.plans.audit_trail import append_sealed, open_log
+from gatehouse.plans.audit_trail import append_sealed, open_anchors, open_log, verify
 from gatehouse.schemas import AUDIT_EVENTS
 
 
@@ -131,10 +131,8 @@ def test_anchors_show_a_cut_tail(spark):
     assert (root.rows, root.first_id, root.last_id) == (95, 0, 94)
     assert C.verify_anchors(sealed, stored, 5, 4).isEmpty()
     tail = sealed.filter("id < 93")
-    assert report(tail, segment_rows=5)[0]
     assert C.verify_anchors(tail, stored, 5, 4).filter("level = 1").first().block == 18
     whole_segment = sealed.filter("id < 50 or id >= 55")
-    assert report(whole_segment, segment_rows=5)[0]
     bad = C.verify_anchors(whole_segment, stored, 5, 4).filter("level = 1").collect()
     assert [(r.block, r.found) for r in bad] == [(10, None)]
 
@@ -163,7 +161,49 @@ def test_batches_are_sealed_onto_the_log(spark, folder):
     log = open_log(spark, path)
     assert report(log, segment_rows=8) == (True, 90, None)
     assert [r.latency_ms for r in log.orderBy("id").collect()] == list(range(90))
-    lost = log.filter("latency_ms <> 44")
-    assert not report(lost, segment_rows=8)[0] or not C.verify_anchors(
-        lost, C.anchors(log, 8, 4), 8, 4
-    ).isEmpty()
+    assert sorted(r.id for r in log.collect()) == list(range(90))
+    assert tuple(verify(spark, path, 8).first()) == (True, 90, None)
+    anchored = open_anchors(spark, path)
+    assert anchored.count() == 12 and anchored.agg(F.sum("rows")).first()[0] == 90
+
+
+@pytest.mark.parametrize(
+    "lost, kept, first",
+    [
+        ("id = 44", 94, 44),
+        ("id = 49", 94, 49),  # the last of its segment
+        ("id = 50", 94, 50),  # the first of the next
+        ("id BETWEEN 47 AND 52", 89, 47),
+        ("id BETWEEN 50 AND 54", 90, 50),  # a whole segment
+        ("id >= 93", 93, 93),
+        ("id >= 20", 20, 20),
+        ("id = 0", 94, 0),
+    ],
+)
+def test_every_lost_row_is_reported(spark, lost, kept, first):
+    sealed = C.seal(unsealed(spark, [event(i) for i in range(95)]), segment_rows=5)
+    anchored = C.segment_anchors(sealed, 5)
+    assert C.findings(sealed, anchored, 5).isEmpty()
+    rest = sealed.filter(f"NOT ({lost})")
+    assert tuple(C.verify_log(rest, anchored, 5).first()) == (False, kept, first)
+
+
+def test_every_edit_is_reported(spark):
+    sealed = C.seal(unsealed(spark, [event(i) for i in range(95)]), segment_rows=5)
+    anchored = C.segment_anchors(sealed, 5)
+    reason = F.when(F.col("id").isin(3, 44), "x").otherwise(F.col("reason"))
+    found = C.findings(sealed.withColumn("reason", reason), anchored, 5).collect()
+    assert sorted(map(tuple, found)) == [(3, "edited"), (44, "edited")]
+    # The last segment sealed anew with other contents: its chain is right, its head is not.
+    forged = C.seal(unsealed(spark, [(90 + i, *event(7 * i)[1:]) for i in range(5)]), segment_rows=5)
+    swapped = sealed.filter("id < 90").unionByName(forged.select(sealed.columns))
+    assert sorted(map(tuple, C.findings(swapped, anchored, 5).collect())) == [(94, "edited")]
+    more = C.seal(unsealed(spark, [event(i) for i in range(97)]), segment_rows=5)
+    assert sorted(map(tuple, C.findings(more, anchored, 5).collect())) == [(95, "unanchored"), (96, "unanchored")]
+
+
+def test_rows_without_hash_are_passed_over(spark):
+    sealed = C.seal(unsealed(spark, [event(i) for i in range(10, 30)]), segment_rows=5)
+    early = unsealed(spark, [event(i) for i in range(10)])
+    log = sealed.unionByName(early, allowMissingColumns=True)
+    assert tuple(C.verify_log(log, C.segment_anchors(sealed, 5), 5).first()) == (True, 20, None)
