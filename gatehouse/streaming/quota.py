@@ -55,7 +55,10 @@ def authorize_stream(
         "tool",
         refusal(F.lit(False), strict, settings).alias("refusal"),
         refusal(F.lit(True), strict, settings).alias("refusal_exhausted"),
-        F.coalesce(F.greatest("_max_calls", F.lit(0)), F.lit(NO_LIMIT)).alias("max_calls"),
+        # `greatest` passes over nulls, and null means no limit.
+        F.when(F.col("_max_calls").isNull(), NO_LIMIT)
+        .otherwise(F.greatest("_max_calls", F.lit(0)))
+        .alias("max_calls"),
         eligible().alias("counts"),
     )
     marked = narrow.groupBy("session_id", "agent").applyInPandasWithState(
