@@ -18,12 +18,18 @@ def not_allow_listed(tool: Column, allowed_tools: Column) -> Column:
     return (F.size(allowed_tools) > 0) & ~listed
 
 
+def elements(value: Column) -> Column:
+    """A value as text and, if it is a JSON list, each of its elements as well."""
+    parts = F.when(value.startswith("["), F.from_json(value, "array<string>"))
+    none = F.array().cast("array<string>")
+    whole = F.array(F.coalesce(value, F.lit("None")))
+    return F.concat(whole, F.coalesce(F.filter(parts, lambda p: p.isNotNull()), none))
+
+
 def values(args: Column) -> Column:
-    """Argument values as text, in argument order."""
-    return F.coalesce(
-        F.transform(args, lambda a: F.coalesce(a["value"], F.lit("None"))),
-        F.array().cast("array<string>"),
-    )
+    """Argument values as text, in argument order; lists are checked element by element too."""
+    found = F.flatten(F.transform(args, lambda a: elements(a["value"])))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def traverses(args: Column) -> Column:

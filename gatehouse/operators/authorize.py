@@ -38,8 +38,15 @@ class Rules:
 
 
 def prepare(policy: DataFrame) -> Rules:
-    """Reads two numbers from the policy table: its size and its largest quota."""
-    rows, most = policy.agg(F.count("*"), F.max("max_calls_per_session")).first()
+    """Reads three numbers from the policy table: its size, its agents and its largest quota.
+
+    Two lines for one agent are an error: each call would get two verdicts.
+    """
+    rows, agents, most = policy.agg(
+        F.count("*"), F.count_distinct("agent"), F.max("max_calls_per_session")
+    ).first()
+    if agents < rows:
+        raise ValueError(f"the policy table has {rows} lines for {agents} agents")
     table = policy.select(
         "agent",
         F.col("allowed_tools").alias("_allowed"),

@@ -17,16 +17,6 @@ def broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= SMALL_ROWS else table
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals the rows of a small table out to all cores.
-
-    Only if its scan has fewer splits than there are cores; such a table is at most cores x
-    spark.sql.files.maxPartitionBytes large. A larger one is left as it is, unshuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     """Equality of key columns in which null equals null."""
     condition = F.lit(True)

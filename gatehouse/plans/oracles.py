@@ -16,7 +16,7 @@ from gatehouse.plans import queries as Q
 from gatehouse.plans.driver_views import view_sql
 from gatehouse.settings import DEFAULT
 from gatehouse.sources.audit_log import SHOWN
-from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY
+from gatehouse.sources.policy import DEMO_POLICY
 
 TEXTS = DEFAULT.messages
 MARK = "\ue000"
@@ -351,30 +351,54 @@ FROM scanned""",
 # Policy
 
 
+def per_agent(config: dict, condition, otherwise: str = "false") -> str:
+    """A CASE over the agents of a policy; `condition` makes SQL from the rules of one."""
+    arms = [(agent, condition(rules)) for agent, rules in config["agents"].items()]
+    shown = " ".join(f"WHEN {quoted(a)} THEN {sql}" for a, sql in arms if sql)
+    return f"CASE agent {shown} ELSE {otherwise} END" if shown else otherwise
+
+
+def tag_found(rules: dict) -> str:
+    tags = [tag.lower() for tag in rules.get("deny_path_tags", [])]
+    arms = " ".join(f"WHEN contains(lower(path), {quoted(t)}) THEN {quoted(t)}" for t in tags)
+    return f"CASE {arms} END" if arms else ""
+
+
+TRAVERSES = "'(^|[\\\\/])\\.\\.([\\\\/]|$)'"
+
+
 def judging(source: str, config: dict, order: str = "seq", name: str = "judged") -> str:
-    """CTEs from `source`(session_id, tool, path, ...) to `judged` with allowed and reason."""
-    rules = config["agents"]["summarizer"]
-    tags = [tag.lower() for tag in rules["deny_path_tags"]]
-    tag = " ".join(f"WHEN contains(lower(path), {quoted(t)}) THEN {quoted(t)}" for t in tags)
-    limit = rules["max_calls_per_session"]
-    return f"""c_static AS (SELECT *, tool IN ({in_list(rules["denied_tools"])}) AS denied,
-  tool NOT IN ({in_list(rules["allowed_tools"])}) AS unlisted,
-  regexp_matches(path, '(^|[\\\\/])\\.\\.([\\\\/]|$)') AS traverses,
-  CASE {tag} END AS tag FROM {source}),
+    """CTEs from `source`(session_id, agent, tool, path, ...) to `judged` with allowed and reason."""
+
+    def listed(key):
+        return lambda r: f"tool IN ({in_list(r[key])})" if r.get(key) else ""
+
+    def limit(rules):
+        return str(rules["max_calls_per_session"]) if "max_calls_per_session" in rules else ""
+
+    return f"""c_static AS (SELECT *, agent IN ({in_list(config["agents"])}) AS known,
+  {per_agent(config, listed("denied_tools"))} AS denied,
+  NOT {per_agent(config, listed("allowed_tools"), "true")} AS unlisted,
+  regexp_matches(path, {TRAVERSES}) OR coalesce(len(list_filter(
+    CASE WHEN starts_with(path, '[') AND json_valid(path) THEN CAST(path::JSON AS VARCHAR[]) END,
+    lambda p: regexp_matches(p, {TRAVERSES}))), 0) > 0 AS traverses,
+  {per_agent(config, tag_found, "NULL")} AS tag,
+  cast({per_agent(config, limit, "NULL")} AS int) AS most FROM {source}),
 c_prior AS (SELECT *, coalesce(sum(CASE WHEN NOT denied AND NOT unlisted AND NOT traverses
-  AND tag IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY {order}
+  AND tag IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, agent ORDER BY {order}
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM c_static),
 c_reason AS (SELECT *, CASE
+  WHEN NOT known THEN {inside(TEXTS.unknown_agent, "agent")}
   WHEN denied THEN {inside(TEXTS.deny_listed, "tool")}
   WHEN unlisted THEN {inside(TEXTS.not_allow_listed, "tool")}
-  WHEN prior >= {limit} THEN {inside(TEXTS.quota_reached, str(limit))}
+  WHEN prior >= most THEN {inside(TEXTS.quota_reached, "most")}
   WHEN traverses THEN {quoted(TEXTS.traversal)}
   WHEN tag IS NOT NULL THEN {inside(TEXTS.forbidden_tag, "tag")} END AS refusal FROM c_prior),
 {name} AS (SELECT * EXCLUDE (refusal), refusal IS NULL AS allowed,
   coalesce(refusal, {quoted(TEXTS.ok)}) AS reason FROM c_reason)"""
 
 
-def calls_sql(body: str, config: dict = DEFAULT_POLICY) -> str:
+def calls_sql(body: str, config: dict = Q.POLICIES) -> str:
     return with_source(view_sql("v_calls"), judging("source", config), body)
 
 
@@ -390,7 +414,7 @@ SELECT session_id, count(*) FILTER (allowed) AS allowed,
         "SELECT reason, count(*) AS calls FROM judged GROUP BY reason"
     ),
     "policy_unknown_agents": f"""
-SELECT 'nobody' AS agent, session_id, seq FROM ({view_sql("v_calls")}) WHERE seq % 3 = 0""",
+SELECT agent, session_id, seq FROM ({view_sql("v_calls")}) WHERE agent = 'nobody'""",
 }
 
 # Hash chain
@@ -443,6 +467,17 @@ WHERE d.id % 331 = 7 GROUP BY d.id"""),
     "chain_previous": audit_sql("SELECT id, lag(sha256(ts)) OVER (ORDER BY id) AS previous FROM v"),
 }
 
+LOST = "\nUNION ALL ".join(
+    f"""SELECT {quoted(name)} AS loss, count(*) FILTER ({lost}) = 0 AS ok,
+  count(*) FILTER (NOT ({lost})) AS checked, min(id) FILTER ({lost}) AS first_bad_id FROM v"""
+    for name, condition in Q.LOSSES.items()
+    for lost in [condition.format(events="events").replace(" div ", " // ")]
+)
+CHAIN["chain_verify_deleted"] = audit_sql(LOST)
+CHAIN["chain_findings"] = audit_sql("""
+SELECT id, 'missing' AS kind FROM v WHERE id % 331 = 7 OR (id % 1024 = 1023 AND (id - 1) % 331 <> 7)
+UNION ALL SELECT id, 'edited' FROM v WHERE id % 997 = 500 AND id % 331 <> 7 AND id % 1024 <> 1023""")
+
 CHAIN["stream_seal"] = CHAIN["chain_seal"]
 
 # Governed run
@@ -458,9 +493,10 @@ steps AS ({view_sql("v_steps")}),
 ends AS (SELECT session_id, min(step_no) AS end_step, arg_min(kind, step_no) AS ended,
   arg_min(text, step_no) AS text, arg_min(coalesce(error, ''), step_no) AS error
   FROM steps WHERE kind IN ('answer', 'llm_error') AND step_no < {LIMIT} GROUP BY session_id),
-made AS (SELECT s.* FROM steps s LEFT JOIN ends e ON e.session_id = s.session_id
+made AS (SELECT s.*, r.agent FROM steps s LEFT JOIN ends e ON e.session_id = s.session_id
+  LEFT JOIN requests r ON r.session_id = s.session_id
   WHERE s.kind = 'tool_call' AND s.step_no < coalesce(e.end_step, {LIMIT})),
-{judging("made", DEFAULT_POLICY, "step_no, call_no")},
+{judging("made", Q.POLICIES, "step_no, call_no")},
 docs AS ({view_sql("v_governed_docs")}),
 {scanning("docs")},
 {masking("scanned")},
@@ -515,6 +551,10 @@ UNION ALL SELECT session_id, -2, 0, 'system', NULL, {quoted(TEXTS.system_prompt)
 UNION ALL SELECT session_id, -1, 0, 'user', NULL, text FROM requests"""),
     "governed_answers": governed_sql("SELECT session_id, ended, clean, text FROM sanitized"),
     "governed_kpis": governed_sql(f"SELECT {KPI_COLUMNS} FROM ({EVENTS})"),
+    "governed_sealed": governed_sql(f"""
+SELECT true AS ok, (SELECT count(*) FROM ({EVENTS})) AS checked,
+  cast(NULL AS bigint) AS first_bad_id, cast(0 AS bigint) AS first_id,
+  (SELECT count(*) - 1 FROM ({EVENTS})) AS last_id, {KPI_COLUMNS} FROM ({EVENTS})"""),
     "step_cap": governed_sql("SELECT ended, count(*) AS sessions FROM given GROUP BY ended"),
 }
 

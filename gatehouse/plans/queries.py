@@ -14,10 +14,12 @@ from gatehouse.operators.authorize import authorize, unknown_agents
 from gatehouse.operators.egress import sanitize_egress
 from gatehouse.operators.injection import neutralize, rule_hits, scan_injection
 from gatehouse.operators.pii import pii_report, redact_pii
+from gatehouse.plans.audit_trail import append_sealed, open_log
+from gatehouse.plans.audit_trail import verify as verify_trail
 from gatehouse.plans.driver_views import table, view, with_args
 from gatehouse.plans.governed import GovernedRun, govern
 from gatehouse.schemas import STEPS
-from gatehouse.session import shared_folder
+from gatehouse.session import shared_folder, stored
 from gatehouse.sources.audit_log import count_events, events_since, newest_first, upgrade
 from gatehouse.sources.documents import join_blocks
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY, policy_from_config
@@ -27,6 +29,18 @@ from gatehouse.streaming.quota import authorize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Every kind of policy; sessions also have an agent that has none.
+POLICIES = {
+    "agents": {
+        **DEFAULT_POLICY["agents"],
+        "clerk": {"denied_tools": ["send_email"], "max_calls_per_session": 25},
+        "archivist": {
+            "allowed_tools": ["read_text_file", "send_email"],
+            "deny_path_tags": ["Budget", "confidential"],
+        },
+    }
+}
+
 JOURNAL_DECISIONS = ("allow", "deny", "trace")
 JOURNAL_TOOLS = ("read_text_file", "write_file", "user_request")
 JOURNAL_SESSIONS = ("1", "2", "3", "5", "8", "13")
@@ -40,7 +54,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy(spark: SparkSession) -> DataFrame:
-    return policy_from_config(spark, DEFAULT_POLICY)
+    return policy_from_config(spark, POLICIES)
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,17 +254,17 @@ def joined_blocks(spark, sf_dir):
 
 
 def policy_authorize(spark, sf_dir):
-    found = authorize(calls(spark, sf_dir), policy(spark))
+    found = authorize(calls(spark, sf_dir), policy(spark), strict=False)
     return found.select("session_id", "seq", "tool", "allowed", "reason")
 
 
 def policy_authorize_demo(spark, sf_dir):
-    found = authorize(calls(spark, sf_dir), policy_from_config(spark, DEMO_POLICY))
+    found = authorize(calls(spark, sf_dir), policy_from_config(spark, DEMO_POLICY), strict=False)
     return found.select("session_id", "seq", "tool", "allowed", "reason")
 
 
 def policy_quota(spark, sf_dir):
-    found = authorize(calls(spark, sf_dir), policy(spark))
+    found = authorize(calls(spark, sf_dir), policy(spark), strict=False)
     over = F.col("reason").startswith("quota")
     return found.groupBy("session_id").agg(
         F.count(F.when(F.col("allowed"), 1)).alias("allowed"),
@@ -259,14 +273,12 @@ def policy_quota(spark, sf_dir):
 
 
 def policy_reason_counts(spark, sf_dir):
-    found = authorize(calls(spark, sf_dir), policy(spark))
+    found = authorize(calls(spark, sf_dir), policy(spark), strict=False)
     return found.groupBy("reason").agg(F.count("*").alias("calls"))
 
 
 def policy_unknown_agents(spark, sf_dir):
-    agent = F.when(F.col("seq") % 3 == 0, "nobody").otherwise(F.col("agent"))
-    mixed = calls(spark, sf_dir).withColumn("agent", agent)
-    return unknown_agents(mixed, policy(spark)).select("agent", "session_id", "seq")
+    return unknown_agents(calls(spark, sf_dir), policy(spark)).select("agent", "session_id", "seq")
 
 
 # Hash chain
@@ -310,6 +322,53 @@ def chain_bad_links(spark, sf_dir):
     return chain.with_link_check(log, chain.SEGMENT_ROWS).filter("bad").select("id")
 
 
+#: Damage to a sealed log, by name: which rows are lost.
+LOSSES = {
+    "border row": "id % 4096 = 1023",
+    "middle row": "id % 331 = 7",
+    "tail of a segment": "id div 1024 % 3 = 1 AND id % 1024 >= 900",
+    "whole segment": "id div 1024 % 4 = 2",
+    "end of the log": "id >= (SELECT max(event_id) - 5 FROM {events})",
+    "nothing": "false",
+}
+
+
+def chain_verify_deleted(spark, sf_dir):
+    """Verification of a log that lost rows, once for each kind of loss."""
+    log = stored(sealed(spark, sf_dir), "sealed")
+    anchored = stored(chain.segment_anchors(log), "anchors")
+    found = None
+    for name, lost in LOSSES.items():
+        rest = spark.sql(f"SELECT * FROM {{log}} WHERE NOT ({lost})", log=log, events=table(spark, sf_dir, "events"))
+        one = chain.verify_log(rest, anchored).withColumn("loss", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def chain_findings(spark, sf_dir):
+    """All lost and edited ids of a log that was damaged in both ways."""
+    log = stored(sealed(spark, sf_dir), "sealed")
+    anchored = stored(chain.segment_anchors(log), "anchors")
+    edited = F.when(F.col("id") % 997 == 500, "allowed later").otherwise(F.col("reason"))
+    damaged = log.filter("id % 331 <> 7 AND id % 1024 <> 1023").withColumn("reason", edited)
+    return chain.findings(damaged, anchored)
+
+
+def governed_sealed(spark, sf_dir):
+    """A governed run, appended to a log in two batches, read back and verified."""
+    events = governed(spark, sf_dir).events
+    path = shared_folder(spark, "log")
+    first = F.pmod(F.xxhash64("session_id"), F.lit(2)) == 0
+    events = stored(events, "events")
+    for batch in (events.filter(first), events.filter(~first)):
+        append_sealed(batch, [*PLACED, "phase"], path)
+    log = open_log(spark, path)
+    numbers = log.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    kpis = reports.kpi_metrics(log)
+    # One row each.
+    return verify_trail(spark, path).join(F.broadcast(numbers), F.lit(True)).join(F.broadcast(kpis), F.lit(True))
+
+
 def chain_previous(spark, sf_dir):
     """The hash that precedes each event in the whole log, across all segments."""
     rows = audit(spark, sf_dir).select("id", F.sha2(F.col("ts"), 256).alias("hash"))
@@ -326,6 +385,7 @@ def governed(spark, sf_dir) -> GovernedRun:
         steps,
         view(spark, sf_dir, "v_governed_docs"),
         policy(spark),
+        strict=False,
     )
 
 
@@ -403,7 +463,7 @@ def stream_egress(spark, sf_dir):
 def stream_quota(spark, sf_dir):
     source = calls(spark, sf_dir).withColumn("ts", F.col("seq").cast("string"))
     stream = arriving(spark, source, "seq", "calls")
-    found = ran(spark, authorize_stream(stream, policy(spark)), "quota")
+    found = ran(spark, authorize_stream(stream, policy(spark), strict=False), "quota")
     return found.select("session_id", "seq", "tool", "allowed", "reason")
 
 
@@ -466,6 +526,9 @@ QUERIES: dict[str, Query] = {
     "chain_verify": chain_verify,
     "chain_verify_tampered": chain_verify_tampered,
     "chain_bad_links": chain_bad_links,
+    "chain_verify_deleted": chain_verify_deleted,
+    "chain_findings": chain_findings,
+    "governed_sealed": governed_sealed,
     "chain_previous": chain_previous,
     "governed_run_events": governed_run_events,
     "governed_transcript": governed_transcript,

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare, database
+from gatehouse.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,14 +12,14 @@ def db(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_twin(spark, db, sf_dir, name):
     problem, _ = compare(spark, db, sf_dir, name)
     assert problem is None
 
 
 def test_every_query_has_a_twin():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -35,7 +36,6 @@ def plan(spark, sf_dir, name):
     [
         ("count_by_decision", "event_id:bigint,event_type:string"),
         ("latency_by_tool", "event_id:bigint,event_type:string,value:double"),
-        ("policy_authorize", "event_id:bigint,user_id:bigint"),
         ("pii_report", "text:string,lang:string,source:string,doc_id:bigint"),
     ],
 )
@@ -46,10 +46,8 @@ def test_scans_read_only_what_is_used(spark, sf_dir, name, columns):
 
 
 @pytest.mark.parametrize("name", ["injection_scan", "pii_redact", "egress_sanitize", "neutralize"])
-def test_text_jobs_need_no_shuffle_of_their_own(spark, sf_dir, name):
-    # The only exchange is the one that deals out the rows of a small table.
-    shown = plan(spark, sf_dir, name)
-    assert shown.count("Exchange") == shown.count("RoundRobinPartitioning") <= 1
+def test_text_jobs_need_no_shuffle(spark, sf_dir, name):
+    assert "Exchange" not in plan(spark, sf_dir, name)
 
 
 def test_since_filter_reaches_the_scan(spark, sf_dir):
@@ -58,6 +56,13 @@ def test_since_filter_reaches_the_scan(spark, sf_dir):
 
 @pytest.mark.parametrize("name", ["governed_run_events", "policy_authorize", "chain_previous"])
 def test_nothing_is_gathered_or_crossed(spark, sf_dir, name):
+    """Joins are on keys, and no list of rows is collected."""
     shown = plan(spark, sf_dir, name)
-    assert "CartesianProduct" not in shown
-    assert "collect_list" not in shown or "div" in shown
+    assert "CartesianProduct" not in shown and "NestedLoopJoin" not in shown
+    assert "collect_list" not in shown
+
+
+def test_agents_are_joined_by_hash(spark, sf_dir):
+    shown = plan(spark, sf_dir, "policy_authorize")
+    assert "BroadcastHashJoin [agent" in shown
+    assert "user_id:bigint" in shown and "value:double" not in shown

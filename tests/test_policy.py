@@ -36,11 +36,11 @@ def test_each_check(spark, policy):
         spark,
         policy,
         [
-            (READ, "demo/workspace/notes.txt"),
-            ("write_file", "demo/workspace/x.txt"),
-            ("send_email", {"to": "someone@example.com"}),
-            (READ, "demo/workspace/CONFIDENTIAL_roadmap.txt"),
-            (READ, "demo/notes..final.txt"),
+            (READ, "docs/lifts.txt"),
+            ("write_file", "docs/lifts.txt"),
+            ("send_email", {"to": "nora.lind@mail.example"}),
+            (READ, "docs/CONFIDENTIAL_budget.txt"),
+            (READ, "docs/list..old.txt"),
         ],
     ) == [
         (True, "ok"),
@@ -52,13 +52,13 @@ def test_each_check(spark, policy):
 
 
 @pytest.mark.parametrize(
-    "path", ["../../etc/passwd", "demo/../../secrets", "..", "a/..", "a\\..\\b", "..\n"]
+    "path", ["../../srv/keys", "docs/../../keys", "..", "a/..", "a\\..\\b", "..\n", '["a", "../keys"]', '[".."]']
 )
 def test_traversal(spark, policy, path):
     assert verdicts(spark, policy, [(READ, path)]) == [(False, "path traversal ('..') refuse")]
 
 
-@pytest.mark.parametrize("path", ["a..b", "..\r", "...", "a/...", "..x/y"])
+@pytest.mark.parametrize("path", ["a..b", "..\r", "...", "a/...", "..x/y", "[..", '["a..b", null, 3]', "[]"])
 def test_no_traversal(spark, policy, path):
     assert verdicts(spark, policy, [(READ, path)]) == [(True, "ok")]
 
@@ -81,11 +81,11 @@ def test_refused_calls_use_no_quota(spark, policy):
 
 
 def test_unknown_agent(spark, policy):
-    calls = rows(spark, [(READ, "a")]).withColumn("agent", F.lit("nonexistent"))
-    with pytest.raises(PySparkException, match="nonexistent"):
+    calls = rows(spark, [(READ, "a")]).withColumn("agent", F.lit("nobody"))
+    with pytest.raises(PySparkException, match="nobody"):
         A.authorize(calls, policy).collect()
     refused = A.authorize(calls, policy, strict=False).first()
-    assert not refused.allowed and "nonexistent" in refused.reason
+    assert not refused.allowed and "nobody" in refused.reason
     assert A.unknown_agents(calls, policy).count() == 1
 
 
@@ -187,3 +187,32 @@ def test_ranking_is_limited_before_the_shuffle(spark, policy):
 
 def test_reasons_are_settings(spark, policy):
     assert DEFAULT.messages.quota_reached.format(10) == "quota de session atteint (10)"
+
+
+def test_a_tag_inside_a_list(spark, policy):
+    found = verdicts(spark, policy, [(READ, '["docs/a.txt", "docs/Confidential/b.txt"]')])
+    assert found == [(False, "acces aux donnees 'confidential' interdit")]
+
+
+def test_two_lines_for_one_agent_are_an_error(spark, policy):
+    with pytest.raises(ValueError, match="2 lines for 1 agents"):
+        A.prepare(policy.union(policy))
+
+
+def test_several_agents(spark):
+    """An empty allow-list allows every tool, a missing quota any number of calls."""
+    config = {
+        "agents": {
+            "open": {"denied_tools": ["write_file"], "max_calls_per_session": 2},
+            "endless": {"allowed_tools": [READ]},
+            "none": {"max_calls_per_session": 0},
+        }
+    }
+    rules = policy_from_config(spark, config)
+    made = [("s", n, agent, tool, []) for n, (agent, tool) in enumerate(
+        [("open", "x"), ("open", "write_file"), ("endless", "x"), ("open", "y"), ("open", "z"), ("none", "x"), ("who", "x")]
+        + [("endless", READ)] * 30
+    )]
+    found = A.authorize(spark.createDataFrame(made, TOOL_CALLS), rules, strict=False).orderBy("seq").collect()
+    assert [r.allowed for r in found] == [True, False, False, True, False, False, False] + [True] * 30
+    assert found[4].reason == "quota de session atteint (2)" and found[5].reason == "quota de session atteint (0)"
