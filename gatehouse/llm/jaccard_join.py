@@ -15,7 +15,8 @@ connected need no comparison, and as 1 - Jaccard is a metric, neither do two set
 distances to a common leader differ by more than a link allows. Only the rest is compared.
 
 Frequencies only order the shingles; they come from a count of all shingles of all documents in
-a table of fixed size, so frequent shingles stand last. Hashes have 64 bits.
+a table of fixed size, so frequent shingles stand last. Hashes have 64 bits,
+48 of which are compared.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import text_arrays as ta
 from gatehouse.llm.components import components
+from gatehouse.llm.tables import finished
 from gatehouse.session import stored
 
 #: Counters of the frequency table, and slices in which they are summed. Fixed size: 8 MB.
@@ -212,15 +214,27 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.concat_tables([known, own.cast(known.schema)])
 
 
+def _body(tokens: np.ndarray) -> bytes:
+    """A set as bytes, six of each hash: two sets of a thousand get one wrong match in 10**8 pairs."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _tokens(body) -> np.ndarray:
+    packed = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(packed), 8), np.uint8)
+    whole[:, 2:] = packed
+    return whole.view(np.uint64).ravel()
+
+
 def _set_rows(size: int):
-    """(sig, n, body): the whole set of each document, as bytes."""
+    """(sig, body): the whole set of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = batch.column("sig")
             for a, b, text, tokens in _batch_shingles(batch.column("text"), size):
                 cuts = np.searchsorted(text, np.arange(b - a + 1))
-                bodies = [tokens[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                bodies = [_body(tokens[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.record_batch([sig.slice(a, b - a), pa.array(bodies, pa.binary())], names=["sig", "body"])
 
     return run
@@ -230,7 +244,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of the common parts of pairs of sets."""
     for batch in batches:
         common = [
-            len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+            len(np.intersect1d(_tokens(x), _tokens(y)))
             for x, y in zip(batch.column("body_a"), batch.column("body_b"), strict=True)
         ]
         yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
@@ -280,7 +294,7 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
         .agg(F.first("na").alias("na"), F.first("nb").alias("nb")),
         "led",
     )
-    compared = stored(_compare(led, texts, classes, size), "answers")
+    compared = finished(_compare(led, texts, classes, size), "answers")
     first = _links(compared, percent).select("a", "b")
     groups = components(first)
 
@@ -311,7 +325,7 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
     )
     # A pair with a leader has been compared.
     rest = rest.join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    second = _links(_compare(rest, texts, classes, size), percent).select("a", "b")
+    second = finished(_links(_compare(rest, texts, classes, size), percent).select("a", "b"), "answers")
     return first.union(second)
 
 
@@ -340,7 +354,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = full.agg(F.sum(F.size("leading"))).first()[0] or 0
     bits = max(6, int(entries // 1_000_000).bit_length())
     sent = full.select("n", "sig", "leading").mapInArrow(_index(bits, percent), _SENT)
-    index = stored(sent.groupBy("bucket").applyInArrow(_shared, _INDEX), "index")
+    index = finished(sent.groupBy("bucket").applyInArrow(_shared, _INDEX), "index")
 
     links = _links_of_classes(index, texts, classes, size, percent)
     rep = classes.select("sig", F.col("rep.doc_id").alias("rep"))
