@@ -92,7 +92,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str,
         if key not in seen:
             seen.add(key)
             keep.append(k)
-    got = got.take(keep)
+    got = got.take(pa.array(keep, pa.int64()))
     values = np.stack([got.column(c).to_numpy() for c in columns], axis=1) if keep else np.zeros((0, len(columns)), int)
     return got.column("text").combine_chunks(), values, got.column("fold").to_numpy()
 
