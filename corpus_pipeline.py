@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import language_id, mixing, sentencepiece
 from gatehouse.llm.jaccard_join import similar_classes
-from gatehouse.llm.queries import TARGETS, VOCABULARY
+from gatehouse.llm.queries import TARGETS, VOCABULARY, held_out
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches, finished
 
@@ -31,7 +31,7 @@ def _back(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: a null text, or one without a letter."""
     bounded_batches(spark)
-    model = language_id.learn(docs)
+    model = language_id.learn(docs.filter(~held_out()))
     found = docs.withColumn("_found", language_id.language_of(spark, F.col("text"), model))
     return _back(docs, found.filter(F.col("_found.lang_pred") != language_id.UNDETERMINED))
 

@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _in_fold(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id"):
     """Whether a document is held out from learning languages."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -38,9 +38,9 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.learn(docs.filter(~_in_fold()))
+    model = language_id.learn(docs.filter(~held_out()))
     judged = language_id.language_of(spark, F.col("text"), model)
-    return docs.select("doc_id", _in_fold().alias("held_out"), judged.alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held_out().alias("held_out"), judged.alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
