@@ -117,15 +117,18 @@ def with_previous(
     block = f"_block{levels}"
     blocked = rows.withColumn(block, F.expr(f"{key} div {width}"))
     within = Window.partitionBy(block).orderBy(key)
-    inside = blocked.withColumn("_before", F.lag(value).over(within))
-    last = blocked.groupBy(block).agg(F.max_by(value, key).alias("_last"))
+    inside = blocked.withColumns(
+        {"_before": F.lag(value).over(within), "_ends": F.lead(key).over(within).isNull()}
+    )
+    # The last row of each block, from the window that is there anyway.
+    last = inside.filter("_ends").select(block, F.col(value).alias("_last"))
     tails = with_previous(last, block, "_last", levels - 1, width).select(
         block, F.col("previous").alias("_tail")
     )
     return (
         inside.join(tails, block)
         .withColumn("previous", F.coalesce("_before", "_tail"))
-        .drop(block, "_before", "_tail")
+        .drop(block, "_before", "_ends", "_tail")
     )
 
 
