@@ -29,9 +29,9 @@ MARK, SPACE = "▁", 32
 #: Score of a byte piece below the lowest score of a piece.
 FALLBACK = 10.0
 #: Words by length up to twice this each; bytes of a table of words; bytes that sort a word.
-SHORT, CELLS, SORTED = 24, 1 << 22, 24
+SHORT, CELLS, SORTED = 24, 1 << 20, 24
 #: Bytes of text whose words are segmented together.
-HELD_BYTES = 2_000_000
+HELD_BYTES = 500_000
 
 
 class Pieces:
