@@ -41,6 +41,8 @@ FEW = 8
 #: Identifiers of documents whose sets are compared: up to here they are broadcast (16 MB),
 #: beyond that joined by shuffle. Only the plan differs.
 BROADCAST_ROWS = 1_000_000
+#: Sets, and shingles, of a block when links are counted, and shingles that a product takes at once.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("leading", pa.list_(pa.int64()))])
 _INDEX = "token long, sig long, n int, place int"
@@ -329,6 +331,33 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
     return first.union(second)
 
 
+def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, the rows (doc_id, rid, n, sig; no sig if linked with nothing), and the classes: sig, n,
+    rep (smallest doc_id and rid), copies, component (a sig) and first (smallest rep of the component).
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
+    counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), size))
+    sets = stored(
+        texts.mapInArrow(_sets(size, percent, counts), "doc_id long, rid long, n long, sig long, leading array<long>"), "sets"
+    )
+    full = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = full.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+
+    entries = full.agg(F.sum(F.size("leading"))).first()[0] or 0
+    bits = max(6, int(entries // 1_000_000).bit_length())
+    sent = full.select("n", "sig", "leading").mapInArrow(_index(bits, percent), _SENT)
+    index = finished(sent.groupBy("bucket").applyInArrow(_shared, _INDEX), "index")
+
+    # Classes are connected by their sets: two sets of one identifier stay two nodes.
+    groups = components(_links_of_classes(index, texts, classes, size, percent)).withColumnRenamed("node", "sig")
+    grouped = classes.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    first = classes.join(groups, "sig").groupBy("component").agg(F.min("rep").alias("first"))
+    grouped = grouped.join(first, "component", "left").withColumn("first", F.coalesce("first", "rep"))
+    rows = sets.select("doc_id", "rid", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
+    return texts, rows, grouped.select("sig", "n", "rep", "copies", "component", "first")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """Classes of documents whose shingle sets are linked by Jaccard >= percent / 100.
 
@@ -342,26 +371,97 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of their own set. Other columns of the input are not looked at. An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), size))
-    sets = stored(
-        texts.mapInArrow(_sets(size, percent, counts), "doc_id long, rid long, n long, sig long, leading array<long>"), "sets"
+    _, rows, classes = _similar(docs, id_col, text_col, size, percent)
+    return rows.join(classes.select("sig", "first"), "sig", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id")
     )
-    full = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = full.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("rep"))
 
-    entries = full.agg(F.sum(F.size("leading"))).first()[0] or 0
-    bits = max(6, int(entries // 1_000_000).bit_length())
-    sent = full.select("n", "sig", "leading").mapInArrow(_index(bits, percent), _SENT)
-    index = finished(sent.groupBy("bucket").applyInArrow(_shared, _INDEX), "index")
 
-    links = _links_of_classes(index, texts, classes, size, percent)
-    rep = classes.select("sig", F.col("rep.doc_id").alias("rep"))
-    edges = links.join(rep.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
-    groups = components(edges, "x", "y").withColumnRenamed("node", "rep")
-    return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).alias("sig"))
-        .join(rep.join(groups, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "sig", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+def _common(one: np.ndarray, other: np.ndarray, rows: np.ndarray, others: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sizes of the common parts of all sets of one side with all of the other."""
+    shared = np.intersect1d(one, other)
+    sides = []
+    for tokens, row in ((one, rows), (other, others)):
+        at = np.searchsorted(shared, tokens)
+        has = at < len(shared)
+        has[has] = shared[at[has]] == tokens[has]
+        order = np.argsort(at[has], kind="stable")
+        sides.append((at[has][order], row[has][order]))
+    common = np.zeros(shape, np.float32)
+    for k in range(0, len(shared), COLUMNS):
+        both = []
+        for n, (at, row) in zip(shape, sides, strict=True):
+            a, b = np.searchsorted(at, [k, k + COLUMNS])
+            both.append(np.zeros((n, min(COLUMNS, len(shared) - k)), np.float32))
+            both[-1][row[a:b], at[a:b] - k] = 1
+        common += both[0] @ both[1].T
+    return common
+
+
+def _count_links(percent: int):
+    """(sig, links) of the sets of two blocks of a component, or within one; pairs stay in the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, n, copies = (table.column(c).to_numpy() for c in ("sig", "n", "copies"))
+        second = table.column("second").to_numpy(zero_copy_only=False)
+        bodies = table.column("body").combine_chunks()
+        alone = not second.any()
+        parts = []
+        for side in [~second] if alone else [~second, second]:
+            sets = [_tokens(bodies[int(k)]) for k in np.flatnonzero(side)]
+            tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            parts.append((np.flatnonzero(side), tokens, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+        (a, one, rows), (b, other, others) = parts[0], parts[-1]
+        common = _common(one, other, rows, others, (len(a), len(b))).astype(np.int64)
+        linked = common * (100 + percent) >= (n[a][:, None] + n[b][None, :]) * percent
+        links = np.zeros(len(sig), np.int64)
+        if alone:
+            np.fill_diagonal(linked, False)
+            links[a] = linked @ copies[b]
+        else:
+            links[a], links[b] = linked @ copies[b], copies[a] @ linked
+        found = links > 0
+        return pa.table({"sig": sig[found], "links": links[found]})
+
+    return run
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """similar_classes with n_links: how many other rows link with a row directly.
+
+    All links lie within a component. Its sets are dealt into blocks, and any two blocks of a
+    component meet in one task, which compares all their pairs and returns sums only. Copies of
+    a set are compared once and counted as many. A row with an empty set or without identifier
+    has no link.
+    """
+    texts, rows, classes = _similar(docs, id_col, text_col, size, percent)
+    classes = stored(classes, "classes")
+    groups = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = stored(classes.join(groups.select("component", blocks.alias("blocks")), "component"), "members")
+    ids = members.select("sig", "rep.doc_id", "rep.rid")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    named = texts.join(ids, ["doc_id", "rid"]).select("sig", "text").dropDuplicates(["sig"])
+    bodies = finished(named.mapInArrow(_set_rows(size), "sig long, body binary"), "bodies")
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks").cast("long")).cast("int")
+    # A block meets itself and those from it on as the first side, those before it as the second.
+    partners = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda p: F.struct(F.least(p, "block").alias("i"), F.greatest(p, "block").alias("j"), (p < F.col("block")).alias("second")),
+    )
+    dealt = (
+        members.withColumn("block", block)
+        .select("component", "sig", "n", "copies", F.explode(partners).alias("p"))
+        .join(bodies, "sig")
+        .select("component", "p.*", "sig", "n", "copies", "body")
+    )
+    found = dealt.groupBy("component", "i", "j").applyInArrow(_count_links(percent), "sig long, links long")
+    sums = finished(found.groupBy("sig").agg(F.sum("links").alias("links")), "links-of-classes")
+    known = classes.join(sums, "sig", "left").select("sig", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return rows.join(known, "sig", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
     )

@@ -88,6 +88,13 @@ nodes AS (SELECT doc_id AS node FROM documents),
 SELECT node AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM parts LEFT JOIN sizes ON doc_id = node
 """
 
+#: The rows of OP5 with the number of links of each.
+OP5_LINKS = OP5.replace(
+    "component_id FROM parts LEFT JOIN sizes ON doc_id = node",
+    "coalesce(k, 0)::BIGINT AS n_links, component_id FROM parts LEFT JOIN sizes ON doc_id = node"
+    " LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) ON a = node",
+)
+
 OP6 = """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS MATERIALIZED (
@@ -176,6 +183,7 @@ ORACLES = {
     "op1_embedding_near_dedup": OP1,
     "op4_sharding": OP4,
     "op5_ngram_jaccard_join": OP5,
+    "ngram_jaccard_links": OP5_LINKS,
     "op6_suffix_array_dedup": OP6,
     "op9_quality_rules": OP9,
     "op10_chat_formatting": OP10,

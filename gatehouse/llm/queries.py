@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gatehouse.llm import language_id, mixing, quality_rules, sentencepiece, toxicity
 from gatehouse.llm.chat_format import calls_of_turns, linked_messages
 from gatehouse.llm.embedding_dedup import near_duplicates
-from gatehouse.llm.jaccard_join import similar_classes
+from gatehouse.llm.jaccard_join import similar_classes, similar_links
 from gatehouse.llm.oracles import ORACLES as ORACLES
 from gatehouse.llm.sharding import shuffled_shards
 from gatehouse.llm.suffix_dedup import remove_repeats
@@ -63,6 +63,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with the number of links of each row."""
+    return similar_links(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), depth=50)
     return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "ngram_jaccard_links": ngram_jaccard_links,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,

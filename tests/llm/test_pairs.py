@@ -6,9 +6,10 @@ import re
 import numpy as np
 import pytest
 
+from gatehouse.llm import jaccard_join
 from gatehouse.llm.components import components
 from gatehouse.llm.embedding_dedup import near_duplicates
-from gatehouse.llm.jaccard_join import similar_classes
+from gatehouse.llm.jaccard_join import similar_classes, similar_links
 
 
 def parts(nodes, links):
@@ -149,3 +150,35 @@ def test_links_at_the_threshold(spark):
     found = {r.doc_id: r.component_id for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {d: c for d, (_, c) in brute_sets(rows, 4, 85).items()}
     assert found[2] == 1 and found[30] == 30
+
+
+@pytest.mark.parametrize(("size", "percent", "sets"), [(4, 85, 256), (5, 80, 4)])
+def test_numbers_of_links_against_brute_force(spark, monkeypatch, size, percent, sets):
+    """All links of a row, also between sets that other links connect already; blocks of a component too."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", sets)
+    rows = texts_fixture()
+    every = {d: shingles(t, size) for d, t in rows}
+    links = {d: 0 for d in every}
+    for a in every:
+        for b in every:
+            common = len(every[a] & every[b])
+            links[a] += a != b and common > 0 and 100 * common >= percent * (len(every[a]) + len(every[b]) - common)
+    expected = {d: (n, links[d], c) for d, (n, c) in brute_sets(rows, size, percent).items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in similar_links(frame, size=size, percent=percent).collect()}
+    assert found == expected and max(links.values()) > 5
+
+
+def test_links_of_rows_without_or_with_repeated_identifier(spark):
+    rows = [(None, "a b c d e"), (8, "a b c d e"), (8, "a b c d e"), (3, "a  b c d e"), (8, "x y z x y")]
+    found = similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_links, r.component_id) for r in found if r.doc_id) == [(3, 2, 3), (8, 0, 8), (8, 2, 3), (8, 2, 3)]
+    assert [(r.n_links, r.component_id) for r in found if r.doc_id is None] == [(0, None)]
+    assert similar_links(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sets_of_one_identifier_do_not_connect_their_components(spark):
+    long = [f"t{k}" for k in range(40)]
+    rows = [(5, " ".join(long)), (8, " ".join(long[:39])), (8, "x y z x y"), (9, "x y z x y")]
+    found = similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(5, 37, 5), (8, 2, 8), (8, 36, 5), (9, 2, 8)]
