@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import language_id, mixing, sentencepiece
-from gatehouse.llm.jaccard_join import similar_classes
+from gatehouse.llm.jaccard_join import repeated_rows
 from gatehouse.llm.queries import TARGETS, VOCABULARY, held_out
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches, finished
@@ -37,14 +37,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of similar ones.
+    """Keeps one row of each group of similar ones: the smallest by doc_id, then by hash of the text.
 
-    Rows without identifier stay; rows that repeat one stay or go together.
+    Rows are told apart by doc_id and text; of rows equal in both, one stays. Rows without
+    identifier stay.
     """
     bounded_batches(spark)
-    classes = similar_classes(docs.select("doc_id", "text"), size=SHINGLE_WORDS, percent=SIMILARITY)
-    gone = finished(classes.filter("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = ["doc_id", "_rid"]
+    keyed = docs.withColumn("_rid", F.xxhash64("text"))
+    gone = finished(repeated_rows(docs.select("doc_id", "text"), size=SHINGLE_WORDS, percent=SIMILARITY), "near-duplicates")
+    gone = gone.withColumnRenamed("rid", "_rid")
+    counts = keyed.filter(F.col("doc_id").isNotNull()).groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = finished(counts.select(row).join(gone, row, "left_anti"), "repeated-rows")
+    single = _back(docs, keyed.join(gone.union(several), row, "left_anti"))
+    if several.isEmpty():
+        return single
+    names = [c for c in docs.columns if c != "text"] + ["text"]
+    least = keyed.join(several, row, "left_semi").groupBy(row).agg(F.min(F.struct(*names)).alias("_row"))
+    return single.union(_back(docs, least.select("_row.*")))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,6 +377,17 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, rid) of the rows that are not the first of their component; rid is xxhash64 of the text.
+
+    The first row is the one with the smallest (doc_id, rid). Rows that are linked with nothing
+    are first of their own.
+    """
+    _, rows, classes = _similar(docs, id_col, text_col, size, percent)
+    later = rows.join(classes.select("sig", "first"), "sig").filter(F.struct("doc_id", "rid") != F.col("first"))
+    return later.select("doc_id", "rid").distinct()
+
+
 def _common(one: np.ndarray, other: np.ndarray, rows: np.ndarray, others: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Sizes of the common parts of all sets of one side with all of the other."""
     shared = np.intersect1d(one, other)

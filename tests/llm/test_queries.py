@@ -224,6 +224,19 @@ def test_pipeline_stage_by_stage(spark):
     assert len(coded) == mixed.count() and all(r.n_pieces == len(r.ids) for r in coded)
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    """Rows that repeat an identifier: copies go, a text of its own stays."""
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcde"]
+    near = texts[1] + " end"
+    rows = [(1, texts[0], "p")] * 3 + [(2, texts[1], "p"), (3, texts[1], "p"), (3, texts[2], "p"), (4, near, "p"), (4, near, "p")]
+    rows += [(5, texts[3], "q"), (5, texts[3], "p"), (6, texts[3], "p"), (None, texts[0], "p"), (None, texts[0], "p"), (2, texts[4], "p")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], documents(spark).schema)
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert found.schema.names == docs.columns
+    kept = sorted((r.doc_id or 0, texts.index(r.text), r.source) for r in found.collect())
+    assert kept == [(0, 0, "p"), (0, 0, "p"), (1, 0, "p"), (2, 1, "p"), (2, 4, "p"), (3, 2, "p"), (5, 3, "p")]
+
+
 def test_pipeline_of_nothing(spark):
     docs = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
