@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gatehouse.llm import url_filters as U
 from gatehouse.llm.quality_rules import BASE, CURRENT, RULES
 from gatehouse.llm.sharding import PRIME, round_keys
 
@@ -179,6 +180,138 @@ SELECT r.conv_id, before, 'result', (2 * level + 1)::BIGINT, r.turn,
 FROM results r LEFT JOIN calls c ON r.before = own LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
 """
 
+
+def _clustering_round(k: int) -> str:
+    """Assignment to the centroids c{k}, and the centroids after it."""
+    return f"""
+far{k} AS MATERIALIZED (
+  SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{k}.v[i]) * (kept.v[i] - c{k}.v[i])))::BIGINT AS distance
+  FROM kept, c{k}
+),
+a{k} AS MATERIALIZED (SELECT r, c, distance FROM far{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1),
+sums{k} AS (
+  SELECT c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{k} JOIN kept USING (r)) GROUP BY c, i
+),
+c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, coalesce(m.v, c{k}.v) AS v FROM c{k}
+  LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM sums{k} GROUP BY c) m USING (c)
+),"""
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding,
+    list_transform(embedding, lambda x: greatest(least(floor(64 * x::DOUBLE), 67108864), -67108864)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, embedding) - 1 AS c, v FROM kept QUALIFY c < 16
+),{"".join(_clustering_round(k) for k in range(4))}
+inertia AS (SELECT c, sum(distance)::BIGINT AS s FROM a3 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, distance, s AS cluster_inertia, (SELECT sum(s) FROM inertia)::BIGINT AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN c3 USING (c) JOIN inertia USING (c)
+"""
+
+OP12 = f"""
+WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '{_WORD}') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS later FROM d
+),
+m AS (
+  SELECT part, doc_id, concat(
+    CASE WHEN len(w) < 50 THEN 'A' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN later THEN 'E' END) AS fails
+  FROM w
+),
+known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m LEFT JOIN known USING (doc_id) GROUP BY part, fails
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+gone AS MATERIALIZED (
+  SELECT *, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda x: instr(filter_order, x))), 6) AS goes FROM masks, orders
+),
+steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS x,
+    sum(n) FILTER (goes > step) AS kept, sum(n) FILTER (goes = step) AS removed,
+    sum(n) FILTER (goes < step AND contains(fails, filter_order[step])) AS redundant,
+    sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+    sum(good) FILTER (goes = step) AS good_lost, sum(toxic) FILTER (goes = step) AS toxic_lost
+  FROM gone, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM steps
+"""
+
+_LINK = U.LINK.replace("'", "''")
+_FITS = [
+    (f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r)
+    for r in sorted(U.RULES, key=lambda r: -len(r.name))
+]
+
+
+def _host_sql(url: str) -> str:
+    return f"translate({url}, '{_UPPER}', '{_UPPER.lower()}')"
+
+
+def _url_round(k: int) -> str:
+    return f"""
+s{k + 1} AS MATERIALIZED (
+  SELECT kind, host, (sum(score) // 100)::BIGINT AS score FROM (
+    SELECT kind, host, score * 100 AS score FROM s0
+    UNION ALL
+    SELECT kind, w."to", {U.HANDED_ON} * (score // edges) FROM walk w JOIN s{k} USING (kind, host)
+  ) GROUP BY kind, host
+),"""
+
+
+OP13 = f"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, html, {_host_sql(f"coalesce(regexp_extract(url, '{U.HOST}', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '{U.PATH}', 1), '') AS path FROM pages
+),
+ruled AS MATERIALIZED (
+  SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits} THEN '{r.name}'" for fits, r in _FITS)} END AS rule,
+    CASE {" ".join(f"WHEN {fits} THEN '{r.verdict}'" for fits, r in _FITS)} END AS ruled FROM p
+),
+s0 AS MATERIALIZED (
+  SELECT kind, host, ({U.UNIT} * count(*) FILTER (ruled = verdict) // count(*))::BIGINT AS score
+  FROM ruled, (VALUES ('trust', 'allow'), ('distrust', 'block')) k(kind, verdict) WHERE host <> '' GROUP BY kind, host
+),
+hosts AS (SELECT DISTINCT host FROM s0),
+sites AS (
+  SELECT h.host, max_by(a.host, length(a.host)) AS above FROM hosts h JOIN hosts a ON ends_with(h.host, '.' || a.host)
+  WHERE length(h.host) <= {U.LONGEST_HOST} GROUP BY h.host
+),
+edges AS (
+  SELECT host AS src, {_host_sql("link")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link FROM p)
+  UNION SELECT host, above FROM sites UNION SELECT above, host FROM sites
+),
+ways AS (
+  SELECT 'trust' AS kind, src AS host, dst AS "to" FROM edges WHERE src <> '' AND dst <> '' AND src <> dst
+  UNION SELECT 'distrust', dst, src FROM edges WHERE src <> '' AND dst <> '' AND src <> dst
+),
+walk AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY kind, host) AS edges FROM ways),{"".join(_url_round(k) for k in range(U.ROUNDS))}
+blocked AS (
+  SELECT host FROM s{U.ROUNDS} GROUP BY host
+  HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0)
+    AND coalesce(sum(score) FILTER (kind = 'distrust'), 0) >= {U.THRESHOLD * U.UNIT // 100}
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict FROM ruled
+"""
+
 ORACLES = {
     "op1_embedding_near_dedup": OP1,
     "op4_sharding": OP4,
@@ -187,4 +320,7 @@ ORACLES = {
     "op6_suffix_array_dedup": OP6,
     "op9_quality_rules": OP9,
     "op10_chat_formatting": OP10,
+    "op11_centroid_clustering": OP11,
+    "op12_filter_audit": OP12,
+    "op13_url_filters": OP13,
 }

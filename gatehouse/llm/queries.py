@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import language_id, mixing, quality_rules, sentencepiece, toxicity
+from gatehouse.llm.centroid_clustering import clusters
 from gatehouse.llm.chat_format import calls_of_turns, linked_messages
 from gatehouse.llm.embedding_dedup import near_duplicates
+from gatehouse.llm.filter_audit import filter_audit
 from gatehouse.llm.jaccard_join import similar_classes, similar_links
 from gatehouse.llm.oracles import ORACLES as ORACLES
 from gatehouse.llm.sharding import shuffled_shards
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches, finished
+from gatehouse.llm.url_filters import url_verdicts
 
 #: Weights of the domains in the mixed corpus.
 TARGETS = {"clean": 0.9, "low_quality": 0.08, "toxic": 0.02}
@@ -100,6 +103,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("problems", F.array_join("problems", ","))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_table(spark, sf_dir, "embeddings"), count=16, rounds=3, dims=64)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_language_id": op2_language_id,
@@ -112,4 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_filters": op13_url_filters,
 }
