@@ -3,9 +3,10 @@
 The quota is the only check that looks at other calls. The calls a session may make are its
 first `max` eligible ones (those that pass every other check), so all that is needed per
 session is the place of the last of them: a call beyond it meets an exhausted quota. That place
-is found with a top-n per session, which keeps at most `max` narrow rows per session and task
-before the shuffle. A session with a third of all calls is therefore no hot group, and whole
-calls are never collected by session.
+is found by counting: eligible calls, narrow rows, are laid out in sorted ranges; the number of
+calls of each session in each range gives, by a running sum over the ranges, the range and the place
+in it of the last call allowed. A session with a third of all calls spans many ranges and is never
+gathered, whatever its quota is.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from gatehouse.operators.joins import broadcast_if_small, same_keys
 from gatehouse.session import stored
 from gatehouse.settings import DEFAULT, Settings
 
-# Spark limits a ranking before its shuffle up to this many rows per group
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_LIMIT = 1000
-SALTS = 64
+# A row's number within a range takes the lower bits of its place, the number of the range the others.
+RANGE_BITS = 33
 
 CHECKS = ("_known", "_denied", "_unlisted", "_traverses", "_tag", "_max_calls")
 
@@ -85,39 +84,28 @@ def eligible() -> Column:
     )
 
 
-def first_rows(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """The first `most` rows of each group, numbered from 1 in `_nth`."""
-    if most > EARLY_LIMIT:
-        # Spark would not limit this early, so split each group first: the first `most`
-        # rows of a group are among the first `most` of its parts.
-        part = F.pmod(F.xxhash64(*order), F.lit(SALTS))
-        split = Window.partitionBy(*keys, "_part").orderBy(*order)
-        rows = (
-            rows.withColumn("_part", part)
-            .withColumn("_nth", F.row_number().over(split))
-            .filter(F.col("_nth") <= most)
-            .drop("_part", "_nth")
-        )
-    ranked = rows.withColumn(
-        "_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    )
-    return ranked.filter(F.col("_nth") <= most)
+def last_allowed(checked: DataFrame, session: list[str], order: list[str]) -> DataFrame:
+    """For sessions that use up their quota: the place of the last call within it.
 
-
-def last_allowed(
-    checked: DataFrame, session: list[str], order: list[str], most: int
-) -> DataFrame:
-    """For sessions that use up their quota: the place of the last call within it."""
+    The eligible calls are written to the shared folder, sorted by range, with their place in that
+    order. Ranges follow from the data, so a long session covers many of them.
+    """
     counted = checked.filter(eligible() & (F.col("_max_calls") > 0)).select(
         *session, *order, "_max_calls"
     )
-    return (
-        first_rows(counted, session, order, most)
-        .filter(F.col("_nth") == F.col("_max_calls"))
-        .select(
-            *[F.col(name).alias(f"_at_{name}") for name in session],
-            F.struct(*order).alias("_last_allowed"),
-        )
+    ranged = counted.repartitionByRange(*session, *order).sortWithinPartitions(*session, *order)
+    rows = stored(ranged.withColumn("_place", F.monotonically_increasing_id()), "eligible-calls")
+    # A session lies in one piece within a range: one row per session and range is left.
+    pieces = rows.groupBy(*session, F.shiftright("_place", RANGE_BITS).alias("_range")).agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_calls"), F.max("_max_calls").alias("_max")
+    )
+    earlier = Window.partitionBy(*session).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.withColumn("_before", F.coalesce(F.sum("_calls").over(earlier), F.lit(0)))
+    here = (F.col("_before") < F.col("_max")) & (F.col("_before") + F.col("_calls") >= F.col("_max"))
+    last = counts.filter(here).select((F.col("_first") + F.col("_max") - F.col("_before") - 1).alias("_place"))
+    return rows.join(last, "_place").select(
+        *[F.col(name).alias(f"_at_{name}") for name in session],
+        F.struct(*order).alias("_last_allowed"),
     )
 
 
@@ -125,7 +113,10 @@ def quota_ends(
     checked: DataFrame, rules: Rules, session: list[str], order: list[str], store: bool = False
 ) -> DataFrame:
     """`last_allowed` for the quotas of a policy table, written out first if `store`."""
-    ends = last_allowed(checked, session, order, rules.largest_quota)
+    if not rules.largest_quota:
+        # No quota can be reached, so no call is looked at.
+        checked = checked.limit(0)
+    ends = last_allowed(checked, session, order)
     return stored(ends, "session-ends") if store else ends
 
 

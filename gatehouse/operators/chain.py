@@ -104,29 +104,45 @@ def _open_heads(events: DataFrame, sealed: DataFrame, segment_rows: int) -> Data
 
 
 def with_previous(
-    rows: DataFrame, key: str, value: str, levels: int = LEVELS, width: int = BLOCK_ROWS
+    rows: DataFrame,
+    key: str,
+    value: str,
+    levels: int = LEVELS,
+    width: int = BLOCK_ROWS,
+    within: str | None = None,
 ) -> DataFrame:
     """Adds `previous`: the `value` of the row with the next smaller `key`, null for the first.
 
+    With `within`, a column, that is the row before among those with the same value of it; null
+    is a value like any other.
+
     A window over all rows would run in one task. Here it runs within blocks of keys; the
     first row of a block takes the last value of the nearest block before it, which is the same
     question about far fewer rows.
     """
+    # Null and the empty text are told apart.
+    group = F.struct(F.col(within).isNull(), F.coalesce(F.col(within).cast("string"), F.lit(""))) if within else F.lit(0)
+    found = _previous(rows.withColumn("_group", group), key, value, levels, width, bool(within))
+    return found.drop("_group")
+
+
+def _previous(rows: DataFrame, key: str, value: str, levels: int, width: int, grouped: bool) -> DataFrame:
+    group = ["_group"] if grouped else []
     if levels == 0:
-        return rows.withColumn("previous", F.lag(value).over(Window.orderBy(key)))
+        return rows.withColumn("previous", F.lag(value).over(Window.partitionBy(*group).orderBy(key)))
     block = f"_block{levels}"
     blocked = rows.withColumn(block, F.expr(f"{key} div {width}"))
-    within = Window.partitionBy(block).orderBy(key)
+    inner = Window.partitionBy(*group, block).orderBy(key)
     inside = blocked.withColumns(
-        {"_before": F.lag(value).over(within), "_ends": F.lead(key).over(within).isNull()}
+        {"_before": F.lag(value).over(inner), "_ends": F.lead(key).over(inner).isNull()}
     )
     # The last row of each block, from the window that is there anyway.
-    last = inside.filter("_ends").select(block, F.col(value).alias("_last"))
-    tails = with_previous(last, block, "_last", levels - 1, width).select(
-        block, F.col("previous").alias("_tail")
+    last = inside.filter("_ends").select("_group", block, F.col(value).alias("_last"))
+    tails = _previous(last, block, "_last", levels - 1, width, grouped).select(
+        *group, block, F.col("previous").alias("_tail")
     )
     return (
-        inside.join(tails, block)
+        inside.join(tails, [*group, block])
         .withColumn("previous", F.coalesce("_before", "_tail"))
         .drop(block, "_before", "_ends", "_tail")
     )

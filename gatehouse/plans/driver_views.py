@@ -76,6 +76,12 @@ SELECT cast(user_id AS string) AS session_id, event_id AS seq, {agent_of("user_i
     WHEN 2 THEN 'docs/list..old.txt' WHEN 3 THEN '["docs/list.txt", "../keys"]'
     WHEN 4 THEN '["docs/list.txt", "docs/plan..b.txt"]' WHEN 5 THEN '[..'
     ELSE {DOCUMENT_PATH} END AS path
+FROM {{events}}""",
+    # One session with nine tenths of the calls, more than its agent may make.
+    "v_hot_calls": f"""
+SELECT CASE WHEN event_id % 10 = 0 THEN cast(user_id AS string) ELSE 'hot' END AS session_id, event_id AS seq,
+  CASE WHEN event_id % 10 = 0 THEN 'runner' ELSE 'porter' END AS agent, 'read_text_file' AS tool,
+  CASE event_id % 9 WHEN 0 THEN '../../srv/keys' ELSE {DOCUMENT_PATH} END AS path
 FROM {{events}}""",
     "v_docs": f"""
 SELECT doc_id, lang, source, concat(text, {PLANTED_INJECTION}) AS text FROM {{documents}}""",
@@ -121,6 +127,12 @@ SELECT cast(conv_id AS string), turn + 1, 0,
 FROM {{conversations}} WHERE role = 'assistant'""",
 }
 
+# The log with one session that has a third of all rows.
+VIEWS["v_hot_audit"] = VIEWS["v_audit"].replace(
+    "CASE WHEN event_id % 13 <> 0 THEN cast(user_id AS string) END",
+    "CASE WHEN event_id % 3 = 1 THEN 'hot' WHEN event_id % 13 <> 0 THEN cast(user_id AS string) END",
+)
+
 TABLES = ("events", "documents", "conversations", "pages")
 
 

@@ -398,8 +398,8 @@ c_reason AS (SELECT *, CASE
   coalesce(refusal, {quoted(TEXTS.ok)}) AS reason FROM c_reason)"""
 
 
-def calls_sql(body: str, config: dict = Q.POLICIES) -> str:
-    return with_source(view_sql("v_calls"), judging("source", config), body)
+def calls_sql(body: str, config: dict = Q.POLICIES, calls: str = "v_calls") -> str:
+    return with_source(view_sql(calls), judging("source", config), body)
 
 
 JUDGED = "SELECT session_id, seq, tool, allowed, reason FROM judged"
@@ -410,6 +410,7 @@ POLICY = {
     "policy_quota": calls_sql("""
 SELECT session_id, count(*) FILTER (allowed) AS allowed,
   count(*) FILTER (starts_with(reason, 'quota')) AS over_quota FROM judged GROUP BY session_id"""),
+    "policy_quota_large": calls_sql(JUDGED, Q.LARGE_QUOTA, "v_hot_calls"),
     "policy_reason_counts": calls_sql(
         "SELECT reason, count(*) AS calls FROM judged GROUP BY reason"
     ),
@@ -423,10 +424,10 @@ REST = """concat_ws('|', ts, agent, tool, decision, reason, cast(latency_ms AS s
   coalesce(session_id, 'None'), cast(pii_redacted AS string))"""
 
 
-def sealing(key: str) -> str:
+def sealing(key: str, source: str = AUDIT) -> str:
     """CTEs with `sealed`(chain, id, prev_hash, hash): one chain per value of `key`."""
     return f"""placed AS (SELECT {key} AS chain, id, {REST} AS rest,
-  row_number() OVER (PARTITION BY {key} ORDER BY id) AS place FROM ({AUDIT})),
+  row_number() OVER (PARTITION BY {key} ORDER BY id) AS place FROM ({source})),
 sealed AS (
   SELECT chain, id, place, '{GENESIS}' AS prev_hash, sha256(concat('{GENESIS}', '|', rest)) AS hash
   FROM placed WHERE place = 1
@@ -478,8 +479,94 @@ CHAIN["chain_findings"] = audit_sql("""
 SELECT id, 'missing' AS kind FROM v WHERE id % 331 = 7 OR (id % 1024 = 1023 AND (id - 1) % 331 <> 7)
 UNION ALL SELECT id, 'edited' FROM v WHERE id % 997 = 500 AND id % 331 <> 7 AND id % 1024 <> 1023""")
 
+SESSION = "coalesce(session_id, '')"
+HOT = view_sql("v_hot_audit")
+CHAIN["chain_seal_sessions"] = f"""WITH RECURSIVE {sealing(SESSION, HOT)}
+SELECT id, nullif(chain, '') AS session_id, prev_hash, hash FROM sealed"""
+CHAIN["chain_seal_log"] = f"WITH RECURSIVE {sealing('0')} SELECT id, prev_hash, hash FROM sealed"
+CHAIN["chain_verify_legacy"] = audit_sql(f"""
+SELECT 'whole' AS log, true AS ok, {CHECKED}, cast(NULL AS bigint) AS first_bad_id FROM v WHERE id >= {Q.LEGACY}
+UNION ALL SELECT 'edited', count(*) FILTER (id % 997 = 500) = 0, {CHECKED}, min(id) FILTER (id % 997 = 500)
+FROM v WHERE id >= {Q.LEGACY}""")
+
+
+def session_loss(name: str, lost: str) -> str:
+    """What verification should say of a log that lost rows, from the ids alone."""
+    return f"""
+SELECT {quoted(name)} AS loss, bad = 0 AND short = 0 AS ok, checked, least(first_bad, first_short) AS first_bad_id,
+  bad AS edited, short AS missing, 0::BIGINT AS unanchored, 0::BIGINT AS anchor
+FROM (SELECT count(*) AS checked, count(*) FILTER (was IS DISTINCT FROM now) AS bad, min(id) FILTER (was IS DISTINCT FROM now) AS first_bad
+  FROM (SELECT *, lag(id) OVER (PARTITION BY session ORDER BY id) AS now FROM h WHERE NOT coalesce({lost}, false))),
+  (SELECT count(*) AS short, min(CASE WHEN left_id IS NULL THEN first_id ELSE last_id END) AS first_short FROM (
+    SELECT session, min(id) AS first_id, max(id) AS last_id, max(id) FILTER (NOT coalesce({lost}, false)) AS left_id FROM h GROUP BY session)
+  WHERE left_id IS DISTINCT FROM last_id)"""
+
+
+CHAIN["chain_verify_sessions"] = f"""
+WITH h AS (SELECT id, session_id, {SESSION} AS session, lag(id) OVER (PARTITION BY {SESSION} ORDER BY id) AS was FROM ({HOT}))
+""" + " UNION ALL ".join(
+    [session_loss(n, c.format(events="events").replace(" div ", " // ")) for n, c in Q.SESSION_LOSSES.items()]
+    + [
+        """
+SELECT 'edited rows', count(*) FILTER (id % 997 = 500) = 0, count(*), min(id) FILTER (id % 997 = 500),
+  count(*) FILTER (id % 997 = 500), 0, 0, 0 FROM h""",
+        """
+SELECT 'a forged anchor', count(begins) = 0, (SELECT count(*) FROM h), least(min(begins), min(own)), count(own), 0, 0, count(begins)
+FROM (SELECT min(id) AS begins, max(id) FILTER (session = '5') AS own FROM h
+  WHERE EXISTS (SELECT 1 FROM h WHERE session = '5') AND session >= '5' AND left(sha256(session), 2) = left(sha256('5'), 2)
+  GROUP BY session)""",
+    ]
+)
+
 CHAIN["stream_seal"] = CHAIN["chain_seal"]
 
+# Governed stream
+
+DEALT = f"(SELECT *, seq * {Q.BATCHES} // (SELECT count(*) FROM events) AS batch FROM ({view_sql('v_calls')}))"
+STREAM = f"""
+c_dealt AS (SELECT * EXCLUDE (batch), least({Q.BATCHES - 1}, batch + CASE WHEN seq % 17 = 3 THEN 1 ELSE 0 END) AS batch FROM {DEALT}),
+c_arrived AS (SELECT *, row_number() OVER arrival AS nth, seq % 211 = 11 AS ends,
+  max(seq) OVER (PARTITION BY session_id ORDER BY batch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > seq AS behind,
+  cast(session_id AS bigint) % 7 <> 3 AND coalesce(max(CASE WHEN seq % 211 = 11 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY batch, seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS is_open
+  FROM c_dealt WINDOW arrival AS (PARTITION BY session_id ORDER BY batch, seq)),
+{judging("c_arrived", Q.POLICIES, "nth")},
+c_events AS (SELECT seq AS id, session_id, tool, agent, is_open, nth,
+  CASE WHEN is_open AND allowed THEN 'allow' ELSE 'deny' END AS decision,
+  CASE WHEN is_open THEN reason ELSE {quoted(TEXTS.not_open)} END AS reason,
+  CASE WHEN is_open THEN session_id ELSE concat(session_id, '#', seq) END AS chain,
+  CASE WHEN is_open THEN nth - 1 ELSE 0 END AS place, coalesce(is_open AND behind, false) AS late FROM judged),
+c_rest AS (SELECT *, concat_ws('|', id, agent, tool, decision, reason, 0, session_id, 0) AS rest FROM c_events),
+c_sealed AS (
+  SELECT chain, id, place, '{GENESIS}' AS prev_hash, sha256(concat('{GENESIS}', '|', rest)) AS hash FROM c_rest WHERE place = 0
+  UNION ALL
+  SELECT r.chain, r.id, r.place, s.hash, sha256(concat(s.hash, '|', r.rest)) FROM c_sealed s JOIN c_rest r ON r.chain = s.chain AND r.place = s.place + 1)"""
+GOVERNED_STREAM = {
+    "stream_govern": f"""WITH RECURSIVE {STREAM.strip()}
+SELECT e.id, session_id, tool, decision, reason, e.chain, e.place, late, prev_hash, hash FROM c_events e JOIN c_sealed s ON e.id = s.id""",
+    # A chain that has lost rows: those whose place does not follow, and chains whose last place is lost.
+    "stream_govern_verify": f"""WITH {STREAM.strip().split("c_sealed AS")[0].rstrip().rstrip(",")},
+kept AS (SELECT *, lag(place) OVER (PARTITION BY chain ORDER BY place) AS prior FROM c_events WHERE id % 1000 < 900),
+tails AS (SELECT count(*) FILTER (place <> coalesce(prior + 1, 0)) AS edited, count(*) AS checked FROM kept),
+ends AS (SELECT count(*) AS missing FROM (SELECT chain, max(place) AS p, max(place) FILTER (id % 1000 < 900) AS q FROM c_events GROUP BY chain)
+  WHERE p IS DISTINCT FROM q)
+SELECT 'nothing' AS loss, true AS ok, count(*) AS checked, 0::BIGINT AS edited, 0::BIGINT AS missing, 0::BIGINT AS unanchored FROM c_events
+UNION ALL SELECT 'tails', edited = 0 AND missing = 0, checked, edited, missing, 0 FROM tails, ends
+UNION ALL SELECT 'edits', count(*) FILTER (id % 97 = 5) = 0, count(*), count(*) FILTER (id % 97 = 5), 0, 0 FROM c_events""",
+    "stream_buckets": audit_sql(f"""
+SELECT strftime(date_trunc('day', event_ts), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS events,
+  count(*) FILTER (decision = 'allow') AS actions_allowed, count(*) FILTER (decision = 'deny') AS actions_denied,
+  count(*) FILTER (decision = 'firewall') AS injections_blocked, count(*) FILTER (decision = 'egress') AS egress_sanitized,
+  count(*) FILTER (decision = 'error') AS errors, cast(sum(pii_redacted) AS bigint) AS pii_redacted,
+  cast(coalesce(sum(latency_ms) FILTER ({TIMED}), 0) AS bigint) AS latency_sum, count(*) FILTER ({TIMED}) AS timed,
+  count(*) FILTER (event_ts < before - INTERVAL 1 HOUR) AS late
+FROM (SELECT *, max(event_ts) OVER (ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT *, least({Q.BATCHES - 1}, id * {Q.BATCHES} // (SELECT count(*) FROM events) + CASE WHEN id % 17 = 3 THEN 1 ELSE 0 END) AS batch FROM v))
+GROUP BY 1"""),
+    # Up to the size of the test tables sessions are counted one by one.
+    "kpi_incremental": audit_sql(f"SELECT {KPI_COLUMNS} FROM v"),
+}
+
 # Governed run
 
 CUT = DEFAULT.trace_limit
@@ -576,6 +663,6 @@ WHERE day + INTERVAL 1 DAY <= (SELECT max(event_ts) FROM v) - INTERVAL 1 HOUR"""
 
 ORACLES = {
     name: sql.strip()
-    for part in (REPORTS, MASKING, EGRESS, SCANS, POLICY, CHAIN, RUN, STREAMS)
+    for part in (REPORTS, MASKING, EGRESS, SCANS, POLICY, CHAIN, GOVERNED_STREAM, RUN, STREAMS)
     for name, sql in part.items()
 }

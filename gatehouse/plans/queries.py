@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.event_hash import GENESIS, event_hash, payload
 from gatehouse.functions.pii import KINDS, PII_PATTERNS
-from gatehouse.operators import chain, reports
+from gatehouse.operators import chain, key_chain, partials, reports
 from gatehouse.operators.authorize import authorize, unknown_agents
 from gatehouse.operators.egress import sanitize_egress
 from gatehouse.operators.injection import neutralize, rule_hits, scan_injection
@@ -20,11 +20,13 @@ from gatehouse.plans.driver_views import table, view, with_args
 from gatehouse.plans.governed import GovernedRun, govern
 from gatehouse.schemas import STEPS
 from gatehouse.session import shared_folder, stored
-from gatehouse.sources.audit_log import count_events, events_since, newest_first, upgrade
+from gatehouse.sources.audit_log import append_events, count_events, events_since, newest_first, read_events, upgrade
 from gatehouse.sources.documents import join_blocks
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY, policy_from_config
-from gatehouse.streaming.audit import kpi_stream, seal_stream
+from gatehouse.streaming import sealed_log
+from gatehouse.streaming.audit import bucket_figures, kpi_stream, seal_stream, write_buckets
 from gatehouse.streaming.files import read_stream, write_stream
+from gatehouse.streaming.govern import govern_stream
 from gatehouse.streaming.quota import authorize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +47,8 @@ JOURNAL_DECISIONS = ("allow", "deny", "trace")
 JOURNAL_TOOLS = ("read_text_file", "write_file", "user_request")
 JOURNAL_SESSIONS = ("1", "2", "3", "5", "8", "13")
 SINCE = 400
-BATCH_ROWS = 1_000_000
+#: Micro-batches of a stream that is made from a table, and the files that each of them brings.
+BATCHES, BATCH_FILES = 5, 4
 BUCKET_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -272,6 +275,21 @@ def policy_quota(spark, sf_dir):
     )
 
 
+#: An agent with a large quota, and one with a small one.
+LARGE_QUOTA = {
+    "agents": {
+        "porter": {"allowed_tools": ["read_text_file"], "max_calls_per_session": 5000},
+        "runner": {"max_calls_per_session": 3},
+    }
+}
+
+
+def policy_quota_large(spark, sf_dir):
+    """A quota of thousands, and a session that holds nine tenths of all calls."""
+    found = authorize(with_args(view(spark, sf_dir, "v_hot_calls")), policy_from_config(spark, LARGE_QUOTA))
+    return found.select("session_id", "seq", "tool", "allowed", "reason")
+
+
 def policy_reason_counts(spark, sf_dir):
     found = authorize(calls(spark, sf_dir), policy(spark), strict=False)
     return found.groupBy("reason").agg(F.count("*").alias("calls"))
@@ -354,6 +372,62 @@ def chain_findings(spark, sf_dir):
     return chain.findings(damaged, anchored)
 
 
+def hot_log(spark, sf_dir):
+    return view(spark, sf_dir, "v_hot_audit").drop("event_ts")
+
+
+def chain_seal_sessions(spark, sf_dir):
+    """One unbroken chain per session; one of them has a third of all rows."""
+    return key_chain.seal_chains(hot_log(spark, sf_dir), "session_id").select("id", "session_id", "prev_hash", "hash")
+
+
+def chain_seal_log(spark, sf_dir):
+    """One unbroken chain over the whole log."""
+    return key_chain.seal_chains(audit(spark, sf_dir).drop("event_ts"), None).select("id", "prev_hash", "hash")
+
+
+#: Ids below this are of an early version and were never sealed.
+LEGACY = 300
+
+
+def chain_verify_legacy(spark, sf_dir):
+    """An unbroken log behind unsealed early rows, whole and edited."""
+    log = audit(spark, sf_dir).drop("event_ts")
+    early = log.filter(F.col("id") < LEGACY).withColumns({"prev_hash": F.lit(None).cast("string"), "hash": F.lit(None).cast("string")})
+    log = stored(early.unionByName(key_chain.seal_chains(log.filter(F.col("id") >= LEGACY), None)), "legacy-log")
+    edited = F.when(F.col("id") % 997 == 500, "allowed later").otherwise(F.col("reason"))
+    checks = [(log, "whole"), (log.withColumn("reason", edited), "edited")]
+    one, other = (chain.verify_chain(rows).withColumn("log", F.lit(name)) for rows, name in checks)
+    return one.unionByName(other)
+
+
+#: Damage to a log with a chain per session: which rows are lost.
+SESSION_LOSSES = {
+    "nothing": "false",
+    "middle rows": "id % 331 = 7",
+    "the end of the log": "id >= (SELECT max(event_id) * 9 div 10 FROM {events})",
+    "whole sessions": "session_id IN ('3', '8', '11')",
+    "the hot session": "session_id = 'hot'",
+}
+
+
+def chain_verify_sessions(spark, sf_dir):
+    """Verification per session against the anchored heads, once for each kind of loss, and with edited rows and anchors."""
+    log = stored(key_chain.seal_chains(hot_log(spark, sf_dir), "session_id"), "sessions")
+    anchored = stored(key_chain.anchor_heads(key_chain.key_heads(log, "session_id"), "session_id"), "session-anchors")
+    events = table(spark, sf_dir, "events")
+    cases = [(name, spark.sql(f"SELECT * FROM {{log}} WHERE NOT coalesce({lost}, false)", log=log, events=events), anchored) for name, lost in SESSION_LOSSES.items()]
+    edited = F.when(F.col("id") % 997 == 500, "allowed later").otherwise(F.col("reason"))
+    cases.append(("edited rows", log.withColumn("reason", edited), anchored))
+    forged = F.when(F.col("session_id") == "5", F.sha2("head", 256)).otherwise(F.col("head"))
+    cases.append(("a forged anchor", log, anchored.withColumn("head", forged)))
+    found = None
+    for name, rows, anchors in cases:
+        one = key_chain.verify_keys(rows, anchors, "session_id").withColumn("loss", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def governed_sealed(spark, sf_dir):
     """A governed run, appended to a log in two batches, read back and verified."""
     # The times of the view are no dates, but the log is laid out by day.
@@ -432,17 +506,25 @@ def streamed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return read_stream(spark, folder, rows.schema)
 
 
-def arriving(spark: SparkSession, rows: DataFrame, order: str, name: str) -> DataFrame:
-    """A stream that delivers rows in order, at most BATCH_ROWS per batch.
+def arriving(spark: SparkSession, rows: DataFrame, batch: str, name: str) -> DataFrame:
+    """A stream that delivers `rows` in BATCHES micro-batches; the SQL text `batch` numbers them from 0.
 
-    Session state sees all rows of a session in one batch, so the batches must be bounded.
+    Each is written by several tasks. A file source takes files in the order of their time, so a
+    batch is written when the one before is complete.
     """
     folder = shared_folder(spark, name)
-    first, last = rows.agg(F.min(order), F.max(order)).first()
-    for begin in range(first, last + 1, BATCH_ROWS):
-        batch = rows.filter(F.col(order).between(begin, begin + BATCH_ROWS - 1))
-        batch.coalesce(1).write.mode("append").parquet(folder)
-    return read_stream(spark, folder, rows.schema, files_per_trigger=1)
+    for number in range(BATCHES):
+        rows.filter(f"({batch}) = {number}").repartition(BATCH_FILES).write.mode("append").parquet(folder)
+        files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+        if files != BATCH_FILES * (number + 1):
+            raise ValueError(f"batch {number} has too few rows for {BATCH_FILES} files")
+    return read_stream(spark, folder, rows.schema, files_per_trigger=BATCH_FILES)
+
+
+def in_order(spark: SparkSession, sf_dir: str, number: str) -> str:
+    """SQL that deals ids 0, 1, ... into batches of equal length, in order."""
+    n = table(spark, sf_dir, "events").count()
+    return f"{number} * {BATCHES} div {max(n, 1)}"
 
 
 def stream_scan(spark, sf_dir):
@@ -463,7 +545,7 @@ def stream_egress(spark, sf_dir):
 
 def stream_quota(spark, sf_dir):
     source = calls(spark, sf_dir).withColumn("ts", F.col("seq").cast("string"))
-    stream = arriving(spark, source, "seq", "calls")
+    stream = arriving(spark, source, in_order(spark, sf_dir, "seq"), "calls")
     found = ran(spark, authorize_stream(stream, policy(spark), strict=False), "quota")
     return found.select("session_id", "seq", "tool", "allowed", "reason")
 
@@ -481,6 +563,67 @@ def stream_kpis(spark, sf_dir):
     return found.withColumn("bucket", F.date_format("bucket", BUCKET_FORMAT))
 
 
+#: Calls of a governed stream: some arrive one batch late, some sessions are never opened, and some calls end theirs.
+GOVERNED_CALLS = """
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY batch, seq) = 1 AND cast(session_id AS bigint) % 7 <> 3 AS opens, seq % 211 = 11 AS ends
+FROM (SELECT *, cast(seq AS string) AS ts, least({last}, {batch} + CASE WHEN seq % 17 = 3 THEN 1 ELSE 0 END) AS batch FROM {calls})"""
+
+
+def governed_stream_log(spark, sf_dir) -> str:
+    """The folder of a log that a governed stream has written, in several batches."""
+    sql = GOVERNED_CALLS.replace("{last}", str(BATCHES - 1)).replace("{batch}", in_order(spark, sf_dir, "seq"))
+    source = stored(with_args(spark.sql(sql, calls=view(spark, sf_dir, "v_calls"))), "dealt-calls")
+    folder = shared_folder(spark, "governed")
+    stream = arriving(spark, source, "batch", "governed-calls").drop("batch")
+    events = govern_stream(stream, policy(spark), strict=False)
+    sealed_log.write_log(events, f"{folder}/log", f"{folder}/state", available_now=True).awaitTermination()
+    return f"{folder}/log"
+
+
+def stream_govern(spark, sf_dir):
+    """Calls judged and sealed in one stateful job, in the order of arrival."""
+    log = sealed_log.read_log(spark, governed_stream_log(spark, sf_dir))
+    return log.select("id", "session_id", "tool", "decision", "reason", "chain", "place", "late", "prev_hash", "hash")
+
+
+def stream_govern_verify(spark, sf_dir):
+    """Verification of that log: whole, without its last batch of rows, and with one row lost in the middle of each chain."""
+    path = governed_stream_log(spark, sf_dir)
+    log, anchored = sealed_log.read_log(spark, path), sealed_log.newest_anchors(spark, path)
+    cases = {"nothing": log, "tails": log.filter("id % 1000 < 900"), "edits": log.withColumn("tool", F.when(F.col("id") % 97 == 5, "x").otherwise(F.col("tool")))}
+    found = None
+    for name, rows in cases.items():
+        one = key_chain.verify_keys(rows, anchored, "chain", "place").withColumn("loss", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found.select("loss", "ok", "checked", "edited", "missing", "unanchored")
+
+
+def stream_buckets(spark, sf_dir):
+    """Key figures of all days, the open ones too, and of all events, late ones too."""
+    log = dealt_log(spark, sf_dir)
+    folder = shared_folder(spark, "buckets")
+    write_buckets(log, f"{folder}/figures", f"{folder}/state", "1 day", "1 hour", available_now=True).awaitTermination()
+    found = bucket_figures(spark, f"{folder}/figures").drop("sketch")
+    return found.withColumn("bucket", F.date_format("bucket", BUCKET_FORMAT))
+
+
+def dealt_log(spark, sf_dir):
+    """The log as a stream in which every 17th event comes a batch late."""
+    batch = f"least({BATCHES - 1}, {in_order(spark, sf_dir, 'id')} + CASE WHEN id % 17 = 3 THEN 1 ELSE 0 END)"
+    return arriving(spark, iso_log(spark, sf_dir), batch, "bucket-log")
+
+
+def kpi_incremental(spark, sf_dir):
+    """Key figures from partial rows per day, kept up to date while the log grows in three appends."""
+    log, folder = iso_log(spark, sf_dir), shared_folder(spark, "grown")
+    n = log.count()
+    for number in range(3):
+        part = log.filter((F.col("id") * 3 >= number * n) & (F.col("id") * 3 < (number + 1) * n))
+        append_events(part.drop("event_ts"), f"{folder}/log")
+        partials.refresh(read_events(spark, f"{folder}/log"), f"{folder}/days")
+    return partials.figures(partials.read_partials(spark, f"{folder}/days"))
+
+
 QUERIES: dict[str, Query] = {
     "kpi_metrics": kpi_metrics,
     "event_count": event_count,
@@ -518,6 +661,7 @@ QUERIES: dict[str, Query] = {
     "policy_authorize": policy_authorize,
     "policy_authorize_demo": policy_authorize_demo,
     "policy_quota": policy_quota,
+    "policy_quota_large": policy_quota_large,
     "policy_reason_counts": policy_reason_counts,
     "policy_unknown_agents": policy_unknown_agents,
     "event_hash": event_hashes,
@@ -529,6 +673,10 @@ QUERIES: dict[str, Query] = {
     "chain_bad_links": chain_bad_links,
     "chain_verify_deleted": chain_verify_deleted,
     "chain_findings": chain_findings,
+    "chain_seal_sessions": chain_seal_sessions,
+    "chain_seal_log": chain_seal_log,
+    "chain_verify_legacy": chain_verify_legacy,
+    "chain_verify_sessions": chain_verify_sessions,
     "governed_sealed": governed_sealed,
     "chain_previous": chain_previous,
     "governed_run_events": governed_run_events,
@@ -542,4 +690,8 @@ QUERIES: dict[str, Query] = {
     "stream_quota": stream_quota,
     "stream_seal": stream_seal,
     "stream_kpis": stream_kpis,
+    "stream_govern": stream_govern,
+    "stream_govern_verify": stream_govern_verify,
+    "stream_buckets": stream_buckets,
+    "kpi_incremental": kpi_incremental,
 }

@@ -28,6 +28,7 @@ class Messages:
     image_part: str = "{} image(s) distante(s) supprimee(s)"  # images
     link_part: str = "{} URL(s) a query string supprimee(s)"  # links
     egress: str = "sortie assainie: {}"  # parts
+    not_open: str = "session terminee ou jamais ouverte"
     image_marker: str = "[image removed]"
     link_marker: str = "[link removed]"
     tool_failed: str = "outil en echec: {}"  # error
@@ -55,6 +56,7 @@ ENGLISH = Messages(
     image_part="{} remote image(s) removed",
     link_part="{} URL(s) with a query string removed",
     egress="output sanitised: {}",
+    not_open="the session has ended or was never opened",
     tool_failed="tool failed: {}",
     model_failed="model unavailable: {}",
 )

@@ -5,16 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatehouse.functions.event_hash import GENESIS, payload
 from gatehouse.operators.chain import SEGMENT_ROWS
+from gatehouse.operators.partials import PARTIALS, merged, partial_figures
 from gatehouse.operators.reports import timed_allow
 
 STATE = "last_hash string, last_id bigint"
+BUCKETS = T.StructType(
+    [
+        T.StructField("bucket", T.TimestampType()),
+        *(f for f in PARTIALS.fields if f.name != "event_date"),
+        T.StructField("late", T.LongType()),
+        T.StructField("newest", T.TimestampType()),
+        T.StructField("batch", T.LongType()),
+    ]
+)
 
 
 def sealer(genesis: str):
@@ -96,3 +108,52 @@ def kpi_stream(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") ->
         .select(F.col("window.start").alias("bucket"), "*")
         .drop("window")
     )
+
+
+def bucket_commit(path: str, width: str, delay: str):
+    """What is done with each batch of `write_buckets`."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        seen = read_buckets(spark, path).filter(F.col("batch") < batch).agg(F.max("newest")).first()[0]
+        behind = F.col("event_ts") < F.lit(seen) - F.expr(f"INTERVAL {delay}") if seen else F.lit(False)
+        bucketed = rows.withColumns({"bucket": F.window("event_ts", width)["start"], "behind": behind})
+        sums = partial_figures(bucketed, "bucket").join(
+            bucketed.groupBy(F.col("bucket").alias("_bucket")).agg(
+                F.count_if("behind").alias("late"), F.max("event_ts").alias("newest")
+            ),
+            F.col("bucket").eqNullSafe(F.col("_bucket")),
+        )
+        sums.drop("_bucket").select(*BUCKETS.names[:-1]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return write
+
+
+def write_buckets(
+    log: DataFrame, path: str, checkpoint: str, width: str = "1 hour", delay: str = "1 hour", available_now: bool = False
+) -> StreamingQuery:
+    """Key figures per time bucket, of every event of the stream, however late.
+
+    Each batch adds partial sums, a row per bucket that it touches, in a folder of its own; a batch that is
+    run again replaces it. `late` counts the events that came when an event newer by `delay` had been seen in a
+    batch before. Nothing is held as state, and no bucket has to close.
+    """
+    writer = log.writeStream.foreachBatch(bucket_commit(path, width, delay)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The partial rows as they were written."""
+    try:
+        return spark.read.schema(BUCKETS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BUCKETS)
+
+
+def bucket_figures(spark: SparkSession, path: str) -> DataFrame:
+    """All buckets so far, open ones too, with the sums of `merged` and `late`."""
+    rows = read_buckets(spark, path)
+    late = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.sum("late").alias("late"))
+    return merged(rows, "bucket").join(late, F.col("bucket").eqNullSafe(F.col("_bucket"))).drop("_bucket")

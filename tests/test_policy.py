@@ -143,10 +143,20 @@ WORDS = {"interdite": "denied", "allowlist": "unlisted", "quota": "quota", "trav
          "donnees": "tag", "ok": "ok"}
 
 
-@pytest.mark.parametrize("early_limit, partitions", [(1000, 1), (1000, 8), (2, 3), (2, 200)])
-def test_random_sessions_equal_the_sequential_walk(spark, monkeypatch, early_limit, partitions):
-    monkeypatch.setattr(A, "EARLY_LIMIT", early_limit)
-    pick = random.Random(early_limit + partitions)
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as they are cut, however small."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("ranges, partitions", [(1, 1), (4, 8), (7, 3), (40, 20)])
+def test_random_sessions_equal_the_sequential_walk(spark, many_ranges, ranges, partitions):
+    many_ranges(ranges)
+    pick = random.Random(ranges + partitions)
     quotas = {"a": 3, "b": 7, "c": None, "d": 0}
     config = {
         "agents": {
@@ -177,12 +187,33 @@ def test_random_sessions_equal_the_sequential_walk(spark, monkeypatch, early_lim
     assert found == sequential(calls, quotas)
 
 
-def test_ranking_is_limited_before_the_shuffle(spark, policy):
-    checked = A.check_calls(rows(spark, [(READ, "a")] * 20), A.prepare(policy))
-    ends = A.last_allowed(checked, ["session_id", "agent"], ["seq"], 10)
+def test_no_task_holds_a_session(spark, policy, many_ranges):
+    """A long session covers many ranges, and only one row for each of them meets the others."""
+    many_ranges(8)
+    checked = A.check_calls(rows(spark, [(READ, "a")] * 4000), A.prepare(policy))
+    ends = A.last_allowed(checked, ["session_id", "agent"], ["seq"])
+    assert [tuple(r) for r in ends.select("_last_allowed.seq").collect()] == [(9,)]
     plan = ends._jdf.queryExecution().executedPlan().toString()
-    first, last = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
-    assert first < plan.index("Exchange hashpartitioning(session_id") < last
+    assert "WindowGroupLimit" not in plan
+    # Below the running sum, calls were counted: their own exchange carries partial counts.
+    assert plan.index("Window") < plan.index("HashAggregate") < plan.rindex("Scan parquet")
+
+
+@pytest.mark.parametrize("quota", [1, 1000, 1001, 5000, 11_999, 12_000])
+def test_quota_of_any_size(spark, many_ranges, quota):
+    many_ranges(6)
+    policy = policy_from_config(spark, {"agents": {"a": {"max_calls_per_session": quota}}})
+    calls = [("hot" if k % 7 else f"s{k % 5}", k, "a", READ, [("path", "..")] if k % 10 == 0 else []) for k in range(14_000)]
+    found = A.authorize(spark.createDataFrame(calls, TOOL_CALLS).repartition(5), policy).collect()
+    by_session = {}
+    for r in sorted(found, key=lambda r: r.seq):
+        by_session.setdefault(r.session_id, []).append(r)
+    for own in by_session.values():
+        allowed = 0
+        for r in own:
+            assert r.allowed == (allowed < quota and r.seq % 10 != 0)
+            allowed += r.allowed
+    assert {r.reason for r in found if not r.allowed and r.seq % 10} <= {f"quota de session atteint ({quota})"}
 
 
 def test_reasons_are_settings(spark, policy):
