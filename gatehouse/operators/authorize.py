@@ -114,8 +114,9 @@ def quota_ends(
 ) -> DataFrame:
     """`last_allowed` for the quotas of a policy table, written out first if `store`."""
     if not rules.largest_quota:
-        # No quota can be reached, so no call is looked at.
-        checked = checked.limit(0)
+        # No quota can be reached: nothing to find, and nothing to join with.
+        at = [F.col(name).alias(f"_at_{name}") for name in session]
+        return checked.filter(F.lit(False)).select(*at, F.struct(*order).alias("_last_allowed"))
     ends = last_allowed(checked, session, order)
     return stored(ends, "session-ends") if store else ends
 

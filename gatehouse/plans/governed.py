@@ -1,13 +1,17 @@
 """The governed run over whole tables of sessions.
 
 Each tool call passes policy, document fetch, injection scan and masking in this order, and
-the first stage that stops it decides its event. Answers are sanitised. Documents are scanned
-and masked once each, however many calls read them, and before any shuffle.
+the first stage that stops it decides its event. Answers are sanitised.
+
+Calls are judged by the policy first. The paths that the allowed ones ask for then filter the
+documents, by narrow keys, so only documents that are read are scanned and masked, once each, and no pattern
+sees the others. Events take verdicts and counts from there; the shown texts join the transcript alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +32,52 @@ PLACE = ["session_id", "step_no", "call_no", "phase"]
 
 @dataclass(frozen=True)
 class GovernedRun:
-    """Results of a run. Nothing is computed before one of them is used."""
+    """Results of a run. Nothing is computed before one of them is used.
+
+    Judged calls and judged documents are tables in the shared folder, written when a result first
+    needs them, and shared by all results.
+    """
+
+    sessions: DataFrame
+    steps: DataFrame
+    documents: DataFrame
+    policy: DataFrame
+    limit: int
+    strict: bool
+    settings: Settings
+    store: bool
+
+    @cached_property
+    def judged_calls(self) -> DataFrame:
+        """Calls with the verdict of the policy and the path that they read, if any."""
+        judged = judge_calls(
+            self.steps, self.sessions, self.policy, self.limit, self.strict, self.settings, self.store
+        )
+        return stored(with_path(judged), "judged-calls")
+
+    @cached_property
+    def judged_documents(self) -> DataFrame:
+        """Documents that a call reads, with what a model may see of them."""
+        read = read_documents(self.documents, self.judged_calls)
+        return stored(judge_documents(read, self.settings), "judged-documents")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        found = fetch(self.judged_calls, self.judged_documents, self.settings)
+        return stored(found, "calls") if self.store else found
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        found = final_answers(self.sessions, self.limit, self.settings)
+        return stored(found, "answers") if self.store else found
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return call_events(self.calls).unionByName(session_events(self.answers, self.settings))
 
-    calls: DataFrame
-    answers: DataFrame
-    events: DataFrame
-    transcript: DataFrame
+    @cached_property
+    def transcript(self) -> DataFrame:
+        return transcript(self.calls, self.answers, self.settings)
 
 
 def with_session_label(requests: DataFrame, request_id: str) -> DataFrame:
@@ -67,25 +111,14 @@ def govern(
 ) -> GovernedRun:
     """Schemas are in `schemas`; `requests` has one row per session.
 
-    With `store`, the judged calls and the answers are written to the shared folder once, and
+    With `store`, the finished calls and the answers are written to the shared folder once too, and
     events and transcript are made from there. Worthwhile if more than one result is used.
     """
     limit = settings.max_steps if max_steps is None else max_steps
     sessions = requests.select(
         "session_id", "agent", F.col("text").alias("request"), F.col("ts").alias("request_ts")
     ).join(session_ends(steps, limit), "session_id", "left")
-
-    calls = judge_calls(steps, sessions, policy, limit, strict, settings, store)
-    calls = fetch(calls, judge_documents(documents, settings), settings)
-    answers = final_answers(sessions, limit, settings)
-    if store:
-        calls, answers = stored(calls, "calls"), stored(answers, "answers")
-    return GovernedRun(
-        calls=calls,
-        answers=answers,
-        events=call_events(calls).unionByName(session_events(answers, settings)),
-        transcript=transcript(calls, answers, settings),
-    )
+    return GovernedRun(sessions, steps, documents, policy, limit, strict, settings, store)
 
 
 def judge_calls(
@@ -132,6 +165,20 @@ def calls_made(steps: DataFrame, thin: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def with_path(calls: DataFrame) -> DataFrame:
+    """Adds `_reads`, the path of a call that gets as far as its document."""
+    asked = argument(F.col("args"), "path")
+    return calls.withColumns(
+        {"_asked": asked, "_reads": F.when(F.col("allowed") & F.col("error").isNull(), asked)}
+    )
+
+
+def read_documents(documents: DataFrame, calls: DataFrame) -> DataFrame:
+    """The documents that a call reads. A path is a narrow key, and is sent once per task and path."""
+    paths = calls.filter(F.col("_reads").isNotNull()).select(F.col("_reads").alias("path")).distinct()
+    return documents.join(paths, "path", "left_semi")
+
+
 def judge_documents(documents: DataFrame, settings: Settings) -> DataFrame:
     """What a model may see of each document, and why."""
     scanned = scan_injection(documents, settings=settings)
@@ -151,15 +198,13 @@ def judge_documents(documents: DataFrame, settings: Settings) -> DataFrame:
 def fetch(calls: DataFrame, judged: DataFrame, settings: Settings) -> DataFrame:
     """Adds `decision`, `reason`, `pii_redacted` and `message`, the text the model gets."""
     texts = settings.messages
-    asked = argument(F.col("args"), "path")
     # Refused calls fetch nothing. Their key matches no path and differs per call, so that
     # they spread over all tasks instead of meeting in the one for null.
     no_path = F.concat_ws("\0", F.lit(""), "session_id", "step_no", "call_no")
-    runs = F.col("allowed") & F.col("error").isNull() & asked.isNotNull()
-    keyed = calls.withColumn("_key", F.when(runs, asked).otherwise(no_path))
+    keyed = calls.withColumn("_key", F.coalesce("_reads", no_path))
     joined = keyed.join(judged, F.col("_key") == F.col("_path"), "left")
 
-    missing = fill(texts.missing_document, F.coalesce(asked, F.lit("path")))
+    missing = fill(texts.missing_document, F.coalesce("_asked", F.lit("path")))
     failure = fill(
         texts.tool_failed,
         F.coalesce(F.col("error"), F.when(F.col("_path").isNull(), missing)),
@@ -196,7 +241,7 @@ def fetch(calls: DataFrame, judged: DataFrame, settings: Settings) -> DataFrame:
                 ),
             }
         )
-        .drop("_key", "_path", "_safe", "_scan_reason", "_pii", "_pii_summary", "_shown")
+        .drop("_asked", "_reads", "_key", "_path", "_safe", "_scan_reason", "_pii", "_pii_summary", "_shown")
     )
 
 

@@ -76,7 +76,7 @@ def test_rows_without_hash_are_skipped(spark):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_random_tampering_of_unbroken_chains(spark, monkeypatch, seed):
-    monkeypatch.setattr(C.with_previous, "__defaults__", (C.LEVELS, 7))
+    monkeypatch.setattr(C.with_previous, "__defaults__", (C.LEVELS, 7, None))
     pick = random.Random(seed)
     ids = sorted(pick.sample(range(5000), 300))
     rows = walk_seal([event(i) for i in ids])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.operators import chain, reports
-from gatehouse.plans.governed import PLACE, govern, with_session_label
+from gatehouse.plans.governed import PLACE, govern, read_documents, with_session_label
 from gatehouse.schemas import DOCUMENTS, REQUESTS, STEPS
 from gatehouse.settings import DEFAULT
 from gatehouse.sources.audit_log import upgrade, with_ids
@@ -195,8 +195,18 @@ def test_session_label(spark):
     assert len(got[0]) == 8 and got[1] == "mine"
 
 
-def test_documents_are_judged_once_per_document(spark):
-    found = run(spark, {"s": [read("a.txt") * 3, "x"]}, {"a.txt": "x"})
-    plan = found.events._jdf.queryExecution().optimizedPlan().toString()
-    # One scan of the documents; the answers have the other masking stages.
-    assert plan.count("compose(") == 1
+def test_only_documents_that_are_read_are_judged_and_each_once(spark):
+    """The paths of allowed calls filter the documents before any pattern sees them."""
+    files = {"a.txt": "x", "b.txt": "mail a@b.example", "c.txt": "y", "confidential.txt": "z"}
+    script = [read("a.txt") * 3, read("b.txt") + read("confidential.txt") + read("nowhere.txt"), "x"]
+    found = run(spark, {"s": script, "t": [read("b.txt"), "x"]}, files)
+    judged = {r._path: r._pii for r in found.judged_documents.collect()}
+    assert judged == {"a.txt": 0, "b.txt": 1}
+    plan = read_documents(spark.createDataFrame(list(files.items()), DOCUMENTS), found.judged_calls)
+    assert "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
+    # Results start from the judged documents; events do not even read what is shown of them.
+    events = found.events._jdf.queryExecution().optimizedPlan().toString()
+    assert "compose(" not in events
+    physical = found.events._jdf.queryExecution().executedPlan().toString()
+    assert "_shown" not in physical
+    assert found.transcript.filter("content LIKE 'mail%'").count() == 2
