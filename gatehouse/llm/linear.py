@@ -1,7 +1,8 @@
 """Linear text classifiers that are learned from a bounded sample of labelled documents.
 
 Features are the words of a text and their beginnings (4 to 6 bytes), as counts, and a few
-shares that describe its form. Which words count is chosen by how surely they tell a label.
+shares that describe its form. Words go by classes of their hash, a fixed number, so the table
+from which the telling ones are chosen has the same size for any sample.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatehouse.llm import text_arrays as ta
 
-#: Labelled documents of the sample, and bytes of its longest text.
-LEARN_DOCS, LEARN_BYTES = 6_000, 65_536
+#: Labelled documents of the sample, bytes of its longest text, and of all its texts.
+LEARN_DOCS, LEARN_BYTES, LEARN_TOTAL = 6_000, 65_536, 24_000_000
+#: Bits of a hash class: four million classes, so that few words of a sample share one.
+CLASS_BITS = 22
 #: Beginnings of words in bytes; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 0)
 #: Features chosen that speak for each label, and against it; least documents with one; least
@@ -39,6 +42,10 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return texts, marks, np.diff(first)
 
 
+def _classes(marks: np.ndarray) -> np.ndarray:
+    return (marks >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+
+
 def _form(data: np.ndarray, offsets: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """Shares of capitals, symbols, digits and line ends, and the logarithm of the length."""
 
@@ -61,14 +68,15 @@ def features(column: pa.Array, chosen: np.ndarray) -> Iterator[tuple[int, int, n
         text, marks, n_words = _marks(part, own)
         counts = np.zeros((b - a, len(chosen)))
         if len(chosen):
-            at = np.minimum(np.searchsorted(chosen, marks), len(chosen) - 1)
-            hit = chosen[at] == marks
+            classes = _classes(marks)
+            at = np.minimum(np.searchsorted(chosen, classes), len(chosen) - 1)
+            hit = chosen[at] == classes
             np.add.at(counts, (text[hit], at[hit]), 1)
         yield a, b, np.concatenate([np.log1p(counts), _form(part, own, n_words)], axis=1), n_words
 
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str, text_col: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, labels, folds) of at most LEARN_DOCS labelled documents, by a hash of the identifier.
+    """(texts, labels, folds) of at most LEARN_DOCS labelled documents and LEARN_TOTAL bytes, by a hash of the identifier.
 
     Rows with a null label or text, and texts above LEARN_BYTES bytes, are not used; of labels
     that contradict each other the larger counts. A text, or one that shares its rarest words
@@ -77,8 +85,11 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str,
     known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(c) for c in columns)).dropna()
     known = known.groupBy("id").agg(*(F.max(c).alias(c) for c in columns))
     short = F.octet_length(text_col).between(1, LEARN_BYTES)
-    ids = docs.filter(short).select(F.col(id_col).alias("id")).distinct().join(known, "id")
-    picked = ids.orderBy(F.xxhash64("id"), "id").limit(LEARN_DOCS)
+    ids = docs.filter(short).groupBy(F.col(id_col).alias("id")).agg(F.max(F.octet_length(text_col)).alias("bytes")).join(known, "id")
+    first = ids.orderBy(F.xxhash64("id"), "id").limit(LEARN_DOCS)
+    # A window over LEARN_DOCS narrow rows at most.
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id"))
+    picked = first.withColumn("so_far", so_far).filter(F.col("so_far") <= LEARN_TOTAL).drop("bytes", "so_far")
     texts = docs.filter(short).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "id").groupBy("id", *columns).agg(F.min("text").alias("text"))
     got = rows.select("text", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)).alias("fold"), F.xxhash64("id").alias("h"), *columns).toArrow()
@@ -98,32 +109,33 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str,
 
 
 def choose(column: pa.Array, labels: np.ndarray) -> np.ndarray:
-    """The features that tell any of the labels most surely, sorted."""
+    """The classes of words that tell any of the labels most surely, sorted.
+
+    Texts are counted piece by piece into one table of all classes: the texts with a class, and those
+    of each label.
+    """
     data, offsets, _ = ta.flat(column)
-    pairs = []
+    total = np.zeros(1 << CLASS_BITS, np.int32)
+    marked = np.zeros((labels.shape[1], 1 << CLASS_BITS), np.int32)
     for a, b in ta.pieces(offsets):
         text, marks, _ = _marks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        order = np.lexsort((marks, text))
-        text, marks = text[order] + a, marks[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (marks[1:] != marks[:-1])
-        pairs.append((text[new], marks[new]))
-    if not pairs:
-        return np.zeros(0, np.uint64)
-    text, marks = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    names, at, total = np.unique(marks, return_inverse=True, return_counts=True)
-    best = []
-    for label in labels.T:
-        yes = np.bincount(at, weights=label[text], minlength=len(names))
+        pairs = np.unique((text.astype(np.int64) << CLASS_BITS) | _classes(marks))
+        text, classes = (pairs >> CLASS_BITS) + a, pairs & ((1 << CLASS_BITS) - 1)
+        np.add.at(total, classes, 1)
+        for k, label in enumerate(labels.T):
+            np.add.at(marked[k], classes[label[text] > 0], 1)
+    names = np.flatnonzero(total >= LEAST_DOCS)
+    total, n, best = total[names].astype(float), len(labels), [np.zeros(0, np.int64)]
+    for k, ones in enumerate(labels.sum(axis=0).tolist()):
+        yes = marked[k, names].astype(float)
         no = total - yes
-        n, ones = len(label), label.sum()
-        rows = np.maximum(total * (n - total.astype(float)) * ones * (n - ones), 1)
+        rows = np.maximum(total * (n - total) * ones * (n - ones), 1)
         cross = yes * (n - ones - no) - no * (ones - yes)
-        score = np.where(total >= LEAST_DOCS, n * cross * np.abs(cross) / rows, 0)
+        score = n * cross * np.abs(cross) / rows
         for signed, most in ((score, CHOSEN_FOR), (-score, CHOSEN_AGAINST)):
             top = np.argsort(-signed, kind="stable")[:most]
             best.append(names[top[signed[top] >= LEAST_SCORE]])
-    return np.unique(np.concatenate(best)) if best else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(best))
 
 
 def matrix(column: pa.Array, chosen: np.ndarray) -> np.ndarray:

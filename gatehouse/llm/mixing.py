@@ -14,6 +14,7 @@ table, and only one number per domain moves to the driver and back.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from gatehouse.llm import linear
 
 #: Domains of the labelled table, and the condition on its labels.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
-#: Steps at most, and the relative error of the totals at which they stop.
-STEPS, CLOSE = 60, 1e-6
+#: Steps at most, the error of the totals (as a share of all tokens) at which they stop, and the one worth a warning.
+STEPS, CLOSE, FAR = 60, 1e-6, 1e-3
 
 _SUMS = T.StructType([T.StructField("totals", T.ArrayType(T.DoubleType()))])
 
@@ -91,11 +92,16 @@ def rates_column(posterior: Column, steps: np.ndarray) -> Column:
     return rate(posterior)
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None) -> np.ndarray:
+def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, whole: int | None = None) -> np.ndarray:
     """The steps that lead to the rates, for `members` with tokens and posterior.
 
     Domain k is to hold shares[k] / sum(shares) of `budget` tokens (null: as many as there are).
     A domain to which no document belongs is left out of the sum.
+
+    With `whole`, the number of a domain of which nothing is to be lost, the budget grows until that
+    domain's target is at least what it holds, and no other domain is to hold more than it does.
+
+    A fit that ends far from its targets, because no rates meet them, says so in a warning.
     """
     k = len(shares)
 
@@ -114,17 +120,31 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
 
     steps = np.zeros((0, k))
     there = totals(steps)
-    target = np.array(shares, float) / sum(shares) * (there.sum() if budget is None else budget)
+    target = targets(there, shares, budget, whole)
     now = there
     for _ in range(STEPS):
         gap = np.where(there > 0, now - target, 0.0)
         if np.abs(gap).max(initial=0) <= CLOSE * max(target.sum(), 1):
-            break
+            return steps
         steps = np.vstack([steps, gap / np.maximum(there, 1e-300)])
         now = totals(steps)
+    left = np.abs(np.where(there > 0, now - target, 0.0)).max(initial=0) / max(target.sum(), 1)
+    if left > FAR:
+        warnings.warn(f"after {STEPS} steps a domain is {left:.1%} of all tokens away from its target", stacklevel=2)
     return steps
 
 
+def targets(there: np.ndarray, shares: list[float], budget: float | None, whole: int | None) -> np.ndarray:
+    """Tokens that each domain is to hold, given those it has."""
+    part = np.array(shares, float) / sum(shares)
+    budget = there.sum() if budget is None else budget
+    if whole is None:
+        return part * budget
+    found = np.minimum(part * max(budget, there[whole] / part[whole]), there)
+    found[whole] = max(part[whole] * budget, there[whole])
+    return found
+
+
 def copies_of(rate: Column, *keys: str) -> Column:
     """How often a document is used: its rate, rounded up or down by a hash of `keys`.
 

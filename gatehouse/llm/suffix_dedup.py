@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatehouse.llm import text_arrays as ta
 from gatehouse.llm.tables import finished
@@ -343,7 +344,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, and neither is earlier than the other. Texts shorter than `depth` stay whole. An empty
     table gives an empty result.
     """
-    # Rows that repeat an identifier are told apart by a hash of their text, rid.
+    # Rows that repeat an identifier are told apart by a hash of their text, rid. Rows that are equal in
+    # both send the same codes, so these are kept once, however many such rows there are.
     gram = min(GRAM, depth)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     texts = docs.select(
@@ -357,17 +359,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(6, math.ceil(math.log2(n_bytes / BUCKET_BYTES + 1)))
 
     first = numbered.mapInArrow(_first_pass(depth, gram, bits), _SENT).groupBy("bucket").applyInArrow(_first_sort, _FOUND)
-    found = finished(first.groupBy("doc_id", "rid").agg(F.collect_list("code").alias("codes")), "segments")
+    found = finished(first.groupBy("doc_id", "rid").agg(F.collect_set("code").alias("codes")), "segments")
 
     # The same shuffle of the texts serves the second pass and the result, so both take the
     # same columns and rows from it.
     nothing = F.array().cast("array<long>")
     marked = texts.join(found, ["doc_id", "rid"], "left")
     second = marked.select("doc_id", "rid", "others", "text", "codes").mapInArrow(_second_pass(depth, bits), _SENT).groupBy("bucket").applyInArrow(_second_sort, _FOUND)
-    more = second.groupBy("doc_id", "rid").agg(F.collect_list("code").alias("more_codes"))
+    more = second.groupBy("doc_id", "rid").agg(F.collect_set("code").alias("more_codes"))
     names = ["doc_id", "others"]
     ready = marked.join(more, ["doc_id", "rid"], "left").select(
         "doc_id", "rid", "others", "text", F.coalesce("codes", nothing).alias("codes"), F.coalesce("more_codes", nothing).alias("more_codes")
     )
-    kinds = f"doc_id long, others {texts.schema['others'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
+    counts = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    kinds = T.StructType([texts.schema["doc_id"], texts.schema["others"], T.StructField("kept", T.BinaryType()), *counts])
     return ready.mapInArrow(_cut(depth, names, whole_characters), kinds)
