@@ -198,11 +198,16 @@ def timeline_positions(log: DataFrame) -> DataFrame:
 
 
 def session_summary(log: DataFrame) -> DataFrame:
-    """One row per session: counts by decision, masked items, errors, first and last id."""
+    """One row per session: counts by decision, masked items, errors, first and last id.
+
+    A log with `event_ts` also gives the first and the last time.
+    """
     counts = [
         F.count(F.when(F.col("decision") == d, 1)).alias(f"n_{d}")
         for d in (*DECISIONS, "error", "trace")
     ]
+    timed = "event_ts" in log.columns
+    times = [F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts")] if timed else []
     return (
         log.filter(F.col("session_id").isNotNull())
         .groupBy("session_id")
@@ -212,5 +217,6 @@ def session_summary(log: DataFrame) -> DataFrame:
             F.sum("pii_redacted").alias("pii_redacted"),
             F.min("id").alias("first_id"),
             F.max("id").alias("last_id"),
+            *times,
         )
     )

@@ -122,7 +122,7 @@ FROM {{events}}
 UNION ALL
 SELECT cast(conv_id AS string), turn + 1, 0,
   CASE WHEN conv_id % 10 = 3 THEN 'llm_error' ELSE 'answer' END, NULL, NULL,
-  concat(text, {PLANTED_CHANNEL}), NULL,
+  CASE WHEN conv_id % 10 <> 7 THEN concat(text, {PLANTED_CHANNEL}) END, NULL,
   CASE WHEN conv_id % 10 = 3 THEN 'ConnectionError: no route' END, NULL
 FROM {{conversations}} WHERE role = 'assistant'""",
 }

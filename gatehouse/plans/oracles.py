@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from gatehouse.functions.event_hash import GENESIS
 from gatehouse.functions.injection import ZERO_WIDTH
-from gatehouse.functions.links import LINK_WITH_QUERY, REMOTE_IMAGE, URL_WITH_QUERY
 from gatehouse.functions.pii import KINDS, marker
 from gatehouse.functions.text import SPACE, WORD
 from gatehouse.operators.chain import FAN, SEGMENT_ROWS
@@ -120,7 +119,8 @@ SELECT session_id, count(*) AS events,
   count(*) FILTER (decision = 'firewall') AS n_firewall,
   count(*) FILTER (decision = 'egress') AS n_egress,
   count(*) FILTER (decision = 'error') AS n_error, count(*) FILTER (decision = 'trace') AS n_trace,
-  cast(sum(pii_redacted) AS bigint) AS pii_redacted, min(id) AS first_id, max(id) AS last_id
+  cast(sum(pii_redacted) AS bigint) AS pii_redacted, min(id) AS first_id, max(id) AS last_id,
+  """ + SHOWN_AT.format("min(event_ts)") + " AS first_at, " + SHOWN_AT.format("max(event_ts)") + """ AS last_at
 FROM v WHERE session_id IS NOT NULL GROUP BY session_id"""),
     "events_since": audit_sql(f"""
 SELECT id, tool, decision, reason FROM v WHERE id > {Q.SINCE} ORDER BY id"""),
@@ -128,6 +128,12 @@ SELECT id, tool, decision, reason FROM v WHERE id > {Q.SINCE} ORDER BY id"""),
 SELECT count(*) AS events, count(*) FILTER (id % 2 = 0) AS sealed,
   count(session_id) FILTER (id % 2 = 0) AS with_session,
   cast(sum(pii_redacted) FILTER (id % 2 = 0) AS bigint) AS pii_redacted FROM v"""),
+    "csv_export": audit_sql("SELECT * EXCLUDE (event_ts) FROM v"),
+    "load_if_empty": audit_sql('SELECT true AS "first", false AS "second", count(*) AS events FROM v'),
+    "documents_from_files": f"""
+SELECT doc_id // {Q.FILE_DOCS} AS bucket, length(t)::INT AS n_chars, sha256(t) AS digest
+FROM (SELECT doc_id // {Q.FILE_DOCS} AS bucket, any_value(doc_id) AS doc_id, string_agg(text || chr(10), '' ORDER BY doc_id) AS t
+  FROM documents GROUP BY 1)""",
 }
 
 # Masking
@@ -203,18 +209,29 @@ MASKING = {
         PAGES, masking("source"), "SELECT page_id, text, total, summary FROM masked"
     ),
 }
+PAIRS = f"concat_ws(',', {', '.join(f"CASE WHEN n_{k} > 0 THEN '{k}=' || n_{k} END" for k in KINDS)})"
+MASKING["pii_counts"] = with_source(
+    view_sql("v_pii"),
+    masking("source"),
+    f"SELECT doc_id, ({' + '.join(f'(n_{k} > 0)::INT' for k in KINDS)})::INT AS kinds, {PAIRS} AS counts FROM masked",
+)
 MASKING["stream_redact"] = with_source(
     view_sql("v_pii"), masking("source"), "SELECT doc_id, text, total, summary FROM masked"
 )
 
 # Outgoing answers
 
+# An image from outside, a link and a bare URL with a query, in DuckDB's dialect.
+IMAGE_SQL = "!\\[[^\\]]*\\]\\([[:space:]]*https?://[^)]*\\)"
+LINK_SQL = "\\[[^\\]]*\\]\\([[:space:]]*https?://[^)?]*\\?[^)]*\\)"
+URL_SQL = "https?://[^[:space:])\\]]+\\?[^[:space:])\\]]+"
+
 
 def sanitizing(source: str, name: str = "sanitized") -> str:
     stages = (
-        (REMOTE_IMAGE, TEXTS.image_marker, "images"),
-        (LINK_WITH_QUERY, TEXTS.link_marker, "links"),
-        (URL_WITH_QUERY, TEXTS.link_marker, "urls"),
+        (IMAGE_SQL, TEXTS.image_marker, "images"),
+        (LINK_SQL, TEXTS.link_marker, "links"),
+        (URL_SQL, TEXTS.link_marker, "urls"),
     )
     ctes, before = [], source
     for pattern, mark, count in stages:
@@ -251,6 +268,9 @@ ANSWERS = with_source(
     f"SELECT conv_id, turn, {SANITIZED} FROM sanitized",
 )
 EGRESS = {
+    "egress_counts": with_source(
+        view_sql("v_answers"), sanitizing("source"), f"SELECT conv_id, turn, {PAIRS} AS counts FROM sanitized"
+    ),
     "egress_sanitize": ANSWERS,
     "stream_egress": ANSWERS,
     "egress_urls": with_source(
@@ -578,7 +598,7 @@ GOVERNED = f"""
 WITH requests AS ({view_sql("v_requests")}),
 steps AS ({view_sql("v_steps")}),
 ends AS (SELECT session_id, min(step_no) AS end_step, arg_min(kind, step_no) AS ended,
-  arg_min(text, step_no) AS text, arg_min(coalesce(error, ''), step_no) AS error
+  arg_min_null(text, step_no) AS text, arg_min(coalesce(error, ''), step_no) AS error
   FROM steps WHERE kind IN ('answer', 'llm_error') AND step_no < {LIMIT} GROUP BY session_id),
 made AS (SELECT s.*, r.agent FROM steps s LEFT JOIN ends e ON e.session_id = s.session_id
   LEFT JOIN requests r ON r.session_id = s.session_id
@@ -642,6 +662,12 @@ UNION ALL SELECT session_id, -1, 0, 'user', NULL, text FROM requests"""),
 SELECT true AS ok, (SELECT count(*) FROM ({EVENTS})) AS checked,
   cast(NULL AS bigint) AS first_bad_id, cast(0 AS bigint) AS first_id,
   (SELECT count(*) - 1 FROM ({EVENTS})) AS last_id, {KPI_COLUMNS} FROM ({EVENTS})"""),
+    "governed_log": governed_sql(f"""
+SELECT row_number() OVER (ORDER BY substr(sha256(session_id), 1, 1) >= '8', session_id, step_no, call_no, phase) - 1 AS id,
+  session_id, tool, decision, reason, latency_ms, pii_redacted FROM ({EVENTS})"""),
+    "session_labels": """
+SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN concat('s', conv_id) ELSE substr(sha256(conv_id::VARCHAR), 1, 8) END AS session_id
+FROM conversations WHERE turn = 0""",
     "step_cap": governed_sql("SELECT ended, count(*) AS sessions FROM given GROUP BY ended"),
 }
 

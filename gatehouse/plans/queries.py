@@ -17,11 +17,20 @@ from gatehouse.operators.pii import pii_report, redact_pii
 from gatehouse.plans.audit_trail import append_sealed, open_log
 from gatehouse.plans.audit_trail import verify as verify_trail
 from gatehouse.plans.driver_views import table, view, with_args
-from gatehouse.plans.governed import GovernedRun, govern
+from gatehouse.plans.governed import GovernedRun, govern, with_session_label
 from gatehouse.schemas import STEPS
 from gatehouse.session import shared_folder, stored
-from gatehouse.sources.audit_log import append_events, count_events, events_since, newest_first, read_events, upgrade
-from gatehouse.sources.documents import join_blocks
+from gatehouse.sources.audit_log import (
+    append_events,
+    append_if_empty,
+    count_events,
+    events_since,
+    export_csv,
+    newest_first,
+    read_events,
+    upgrade,
+)
+from gatehouse.sources.documents import join_blocks, read_documents
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY, policy_from_config
 from gatehouse.streaming import sealed_log
 from gatehouse.streaming.audit import bucket_figures, kpi_stream, seal_stream, write_buckets
@@ -153,7 +162,9 @@ def timeline_positions(spark, sf_dir):
 
 
 def session_summary(spark, sf_dir):
-    return reports.session_summary(audit(spark, sf_dir))
+    found = reports.session_summary(audit(spark, sf_dir))
+    times = {"first_at": reports.shown_time("first_ts"), "last_at": reports.shown_time("last_ts")}
+    return found.withColumns(times).drop("first_ts", "last_ts")
 
 
 def events_after(spark, sf_dir):
@@ -174,9 +185,57 @@ def legacy_upgrade(spark, sf_dir):
     )
 
 
+def csv_export(spark, sf_dir):
+    """The log as CSV files, read back."""
+    log, path = audit(spark, sf_dir).drop("event_ts"), shared_folder(spark, "csv")
+    export_csv(log, path)
+    return spark.read.schema(log.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def load_if_empty(spark, sf_dir):
+    """A log that is loaded once; the second load finds it there."""
+    log, path = iso_log(spark, sf_dir).drop("event_ts"), shared_folder(spark, "loaded")
+    loads = [append_if_empty(open_log(spark, path), log, path) for _ in range(2)]
+    return count_events(open_log(spark, path)).select(*(F.lit(x).alias(n) for n, x in zip(("first", "second"), loads)), "events")
+
+
+#: Documents that go into one file.
+FILE_DOCS = 50
+
+
+def documents_from_files(spark, sf_dir):
+    """Documents written as text files, FILE_DOCS to a file, and read by path."""
+    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "files")
+    dealt = docs.select(F.expr(f"doc_id div {FILE_DOCS}").alias("bucket"), "doc_id", "text")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id")
+    ordered.write.partitionBy("bucket").text(path)
+    files = read_documents(spark, path).filter("path LIKE 'bucket=%'")
+    return files.select(
+        F.regexp_extract("path", "^bucket=([0-9]+)/", 1).cast("bigint").alias("bucket"),
+        F.char_length("text").alias("n_chars"),
+        F.sha2("text", 256).alias("digest"),
+    )
+
+
 # Personal data and outgoing answers
 
 
+def as_text(counts: str) -> Column:
+    """A map of counts as `kind=n` pairs."""
+    return F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+
+
+def pii_counts(spark, sf_dir):
+    """The counts of each document as a map, kinds without a hit left out."""
+    found = redact_pii(view(spark, sf_dir, "v_pii").select("doc_id", "text"))
+    return found.select("doc_id", F.size("counts").alias("kinds"), as_text("counts").alias("counts"))
+
+
+def egress_counts(spark, sf_dir):
+    found = sanitize_egress(view(spark, sf_dir, "v_answers"))
+    return found.select("conv_id", "turn", as_text("pii_counts").alias("counts"))
+
+
 def pii_email_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     patterns = [(k, p) for k, p in PII_PATTERNS if k == "email"]
@@ -428,15 +487,21 @@ def chain_verify_sessions(spark, sf_dir):
     return found
 
 
-def governed_sealed(spark, sf_dir):
-    """A governed run, appended to a log in two batches, read back and verified."""
+def governed_log_path(spark, sf_dir) -> str:
+    """A log that a governed run was appended to in two batches, half of the sessions each."""
     # The times of the view are no dates, but the log is laid out by day.
     day = F.format_string("2024-01-%02dT08:00:00+00:00", F.pmod("call_no", F.lit(28)) + 1)
     events = stored(governed(spark, sf_dir).events.withColumn("ts", day), "events")
     path = shared_folder(spark, "log")
-    first = F.pmod(F.xxhash64("session_id"), F.lit(2)) == 0
+    first = F.substring(F.sha2("session_id", 256), 1, 1) < "8"
     for batch in (events.filter(first), events.filter(~first)):
         append_sealed(batch, [*PLACED, "phase"], path)
+    return path
+
+
+def governed_sealed(spark, sf_dir):
+    """The log of a governed run, read back and verified."""
+    path = governed_log_path(spark, sf_dir)
     log = open_log(spark, path)
     numbers = log.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     kpis = reports.kpi_metrics(log)
@@ -444,6 +509,12 @@ def governed_sealed(spark, sf_dir):
     return verify_trail(spark, path).join(F.broadcast(numbers), F.lit(True)).join(F.broadcast(kpis), F.lit(True))
 
 
+def governed_log(spark, sf_dir):
+    """The same log, row by row: every event under the id that its place gives."""
+    log = open_log(spark, governed_log_path(spark, sf_dir))
+    return log.select("id", "session_id", "tool", "decision", "reason", "latency_ms", "pii_redacted")
+
+
 def chain_previous(spark, sf_dir):
     """The hash that precedes each event in the whole log, across all segments."""
     rows = audit(spark, sf_dir).select("id", F.sha2(F.col("ts"), 256).alias("hash"))
@@ -481,6 +552,13 @@ def governed_answers(spark, sf_dir):
     return governed(spark, sf_dir).answers.select("session_id", "ended", "clean", "text")
 
 
+def session_labels(spark, sf_dir):
+    """Requests of which every third one came without a session, with the label they get."""
+    requests = table(spark, sf_dir, "conversations").filter("turn = 0")
+    given = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("s"), "conv_id"))
+    return with_session_label(requests.select("conv_id", given.alias("session_id")), "conv_id")
+
+
 def governed_kpis(spark, sf_dir):
     return reports.kpi_metrics(governed(spark, sf_dir).events)
 
@@ -644,6 +722,11 @@ QUERIES: dict[str, Query] = {
     "session_summary": session_summary,
     "events_since": events_after,
     "legacy_upgrade": legacy_upgrade,
+    "csv_export": csv_export,
+    "load_if_empty": load_if_empty,
+    "documents_from_files": documents_from_files,
+    "pii_counts": pii_counts,
+    "egress_counts": egress_counts,
     "pii_email_counts": pii_email_counts,
     "pii_redact": pii_redact,
     "pii_redact_no_phone": pii_redact_no_phone,
@@ -678,11 +761,13 @@ QUERIES: dict[str, Query] = {
     "chain_verify_legacy": chain_verify_legacy,
     "chain_verify_sessions": chain_verify_sessions,
     "governed_sealed": governed_sealed,
+    "governed_log": governed_log,
     "chain_previous": chain_previous,
     "governed_run_events": governed_run_events,
     "governed_transcript": governed_transcript,
     "governed_answers": governed_answers,
     "governed_kpis": governed_kpis,
+    "session_labels": session_labels,
     "step_cap": step_cap,
     "stream_scan": stream_scan,
     "stream_redact": stream_redact,
