@@ -687,6 +687,8 @@ SELECT * EXCLUDE (day), strftime(day, '%Y-%m-%d %H:%M:%S') AS bucket FROM days
 WHERE day + INTERVAL 1 DAY <= (SELECT max(event_ts) FROM v) - INTERVAL 1 HOUR"""),
 }
 
+SCANS["injection_rules_table"] = SCANS["injection_scan"]
+
 ORACLES = {
     name: sql.strip()
     for part in (REPORTS, MASKING, EGRESS, SCANS, POLICY, CHAIN, GOVERNED_STREAM, RUN, STREAMS)

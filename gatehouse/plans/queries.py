@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.functions.event_hash import GENESIS, event_hash, payload
+from gatehouse.functions.injection import RULES
 from gatehouse.functions.pii import KINDS, PII_PATTERNS
 from gatehouse.operators import chain, key_chain, partials, reports
 from gatehouse.operators.authorize import authorize, unknown_agents
@@ -32,6 +33,7 @@ from gatehouse.sources.audit_log import (
 )
 from gatehouse.sources.documents import join_blocks, read_documents
 from gatehouse.sources.policy import DEFAULT_POLICY, DEMO_POLICY, policy_from_config
+from gatehouse.sources.rules import read_rules, rules_table
 from gatehouse.streaming import sealed_log
 from gatehouse.streaming.audit import bucket_figures, kpi_stream, seal_stream, write_buckets
 from gatehouse.streaming.files import read_stream, write_stream
@@ -290,6 +292,13 @@ def injection_scan(spark, sf_dir):
     return verdicts(scan_injection(view(spark, sf_dir, "v_docs")))
 
 
+def injection_rules_table(spark, sf_dir):
+    """The scan with its rules read from JSON lines."""
+    path = shared_folder(spark, "rules")
+    rules_table(spark, RULES).write.json(path)
+    return verdicts(scan_injection(view(spark, sf_dir, "v_docs"), rules=read_rules(spark, path)))
+
+
 def injection_encoded(spark, sf_dir):
     return verdicts(scan_injection(view(spark, sf_dir, "v_encoded")))
 
@@ -736,6 +745,7 @@ QUERIES: dict[str, Query] = {
     "egress_urls": egress_urls,
     "egress_pages": egress_pages,
     "injection_scan": injection_scan,
+    "injection_rules_table": injection_rules_table,
     "injection_encoded": injection_encoded,
     "injection_fullwidth": injection_fullwidth,
     "injection_rule_hits": injection_rule_hits,
