@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from gatehouse.llm import text_arrays as ta
 
-#: Characters learned a language, and documents from which they are taken.
-LEARN_CHARS, LEARN_DOCS = 32_768, 64
+#: Characters learned a language, different texts from which they are taken, and characters from each.
+LEARN_CHARS, LEARN_DOCS, PIECE_CHARS = 32_768, 256, 4096
 #: Letters that have a symbol of their own; the others share SHARED symbols.
 LETTERS, SHARED = 100, 16
 BLOCK = 1024
@@ -112,7 +112,7 @@ def _compiled(goto: list[dict[int, int]], width: int, base: int) -> np.ndarray:
         for symbol, target in moves.items():
             table[state, symbol] = 2 * (base + target * width)
     table[:, PAD] = 2 * (base + np.arange(fresh + 1) * width)
-    return table.astype(np.int32).ravel()
+    return table.astype(np.int32 if table.max() < 1 << 31 else np.int64).ravel()
 
 
 def _collapsed(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,20 +124,22 @@ def _collapsed(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Learns each language from at most LEARN_CHARS characters of at most LEARN_DOCS documents.
+    """Learns each language from at most LEARN_CHARS characters of at most LEARN_DOCS different texts.
 
-    Documents are taken in the order of a hash of their identifier, so a rerun learns the same;
-    texts above LEARN_CHARS bytes are passed over. Rows with a null in one of the columns are
-    not used. The sample is all that reaches the driver.
+    Texts are taken in the order of a hash of their identifier, so a rerun learns the same, and each
+    with its first PIECE_CHARS characters, so long texts teach a language too. A text that stands in several rows is taken once. Rows
+    with a null in one of the columns, or an empty text, are not used. The sample is all that reaches the driver.
     """
     from pyspark.sql import Window
 
-    named = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    short = (F.octet_length("text") <= LEARN_CHARS) & (F.octet_length("text") > 0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    rows = named.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & short)
-    picked = rows.select("id", "lang").withColumn("rank", rank).filter(F.col("rank") <= LEARN_DOCS)
-    sample = rows.join(F.broadcast(picked.drop("rank").distinct()), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), "text").collect()
+    named = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
+    rows = named.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "same"))
+    texts = rows.groupBy("lang", "same").agg(F.min("id").alias("id"))
+    picked = texts.withColumn("rank", rank).filter(F.col("rank") <= LEARN_DOCS).drop("rank")
+    # At most LEARN_DOCS narrow rows per language.
+    pieces = rows.join(F.broadcast(picked), ["lang", "same", "id"]).select("lang", "same", F.xxhash64("id").alias("h"), F.substring("text", 1, PIECE_CHARS).alias("text"))
+    sample = pieces.groupBy("lang", "same", "h").agg(F.min("text").alias("text")).collect()
     by_lang: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
         by_lang.setdefault(row["lang"], []).append(row["text"])
@@ -151,7 +153,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         tables.append(_compiled(goto, width, base))
         fresh.append(base + len(goto) * width)
         base += len(tables[-1])
-    return Languages(names, symbols, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(fresh, np.int32))
+    # Entries go up to twice the size of the table.
+    kind = np.int32 if 2 * base + 1 < 1 << 31 else np.int64
+    return Languages(names, symbols, np.concatenate(tables).astype(kind) if tables else np.zeros(0, kind), np.array(fresh, kind))
 
 
 def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +177,12 @@ def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, model: Languages) ->
         steps = int(length[mine[-1]])
         where = start[mine][None, :] + np.arange(steps)[:, None]
         where[np.arange(steps)[:, None] >= length[mine][None, :]] = len(symbols)
-        rows = padded[where].astype(np.int32)
+        rows = padded[where].astype(model.table.dtype)
         state = np.repeat(model.fresh[:, None], len(mine), axis=1)
         phrases = np.zeros(state.shape, np.int32)
         for row in rows:
             move = model.table[state + row]
-            phrases += move & 1
+            phrases += (move & 1).astype(np.int32)
             state = move >> 1
         np.add.at(found, text[mine], phrases.T)
     return found

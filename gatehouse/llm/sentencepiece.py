@@ -14,6 +14,7 @@ with the byte pieces of the vocabulary, so decoding gives back every text exactl
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ FALLBACK = 10.0
 SHORT, CELLS, SORTED = 24, 1 << 20, 24
 #: Bytes of text whose words are segmented together.
 HELD_BYTES = 500_000
+#: Bytes from which on a word is segmented by itself: hardly any other shares its levels.
+LONG = 2048
 
 
 class Pieces:
@@ -179,6 +182,39 @@ def _segmented(words: np.ndarray, length: np.ndarray, model: Pieces) -> tuple[np
     return np.bincount(word, minlength=len(words)), np.concatenate([x for _, x in found])[arranged]
 
 
+def _segmented_alone(word: bytes, model: Pieces) -> np.ndarray:
+    """The pieces of one long word: those of `_segmented`, found byte by byte.
+
+    The word is a path in the trie of words. Of equal scores the byte piece goes first, then the shortest.
+    """
+    move, piece, score = memoryview(model.move), memoryview(model.piece), memoryview(model.score)
+    spell = memoryview(model.byte_ids)
+    n = len(word)
+    best = array("d", [-np.inf]) * (n + 1)
+    back, chosen = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+    best[0] = 0.0
+    for at in range(n):
+        here = best[at]
+        whole = here + model.fallback
+        if whole >= best[at + 1]:
+            best[at + 1], back[at + 1], chosen[at + 1] = whole, 1, spell[word[at]]
+        state = end = 0
+        for end in range(at, n):
+            state = move[state + word[end]]
+            if not state:
+                break
+            if piece[state >> 8] >= 0:
+                whole = here + score[state >> 8]
+                # Candidates for an end come from the longest to the shortest.
+                if whole > best[end + 1] or (whole == best[end + 1] and back[end + 1] > end + 1 - at):
+                    best[end + 1], back[end + 1], chosen[end + 1] = whole, end + 1 - at, piece[state >> 8]
+    found, at = array("i"), n
+    while at:
+        found.append(chosen[at])
+        at -= back[at]
+    return np.frombuffer(found, np.int32)[::-1]
+
+
 def _classes(length: np.ndarray) -> Iterator[np.ndarray]:
     """Words of similar length, so many at a time that their table stays small."""
     order = np.argsort(length, kind="stable")
@@ -215,7 +251,14 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, model: Pieces) -> tuple[
     at, length = starts[first], (ends - starts)[first]
     counts, ids, where = np.zeros(len(first), np.int64), [], np.zeros(len(first), np.int64)
     done = 0
-    for mine in _classes(length):
+    long = np.flatnonzero(length > LONG)
+    for word in long.tolist():
+        pieces = _segmented_alone(marked[at[word] : at[word] + length[word]].tobytes(), model)
+        counts[word], where[word] = len(pieces), done
+        done += len(pieces)
+        ids.append(pieces)
+    usual = np.flatnonzero(length <= LONG)
+    for mine in (usual[x] for x in _classes(length[usual])):
         widest = int(length[mine].max())
         words = np.zeros((len(mine), widest), np.uint8)
         inside = np.arange(widest)[None, :] < length[mine][:, None]

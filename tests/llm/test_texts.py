@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -273,3 +274,43 @@ def test_whole_texts_are_hashed_alike_wherever_they_stand():
     sums = ta.prefix_hash(data)
     a, b = ta.span_hash(sums, np.array([2, 7]), np.array([5, 10]))
     assert a == b
+
+
+def test_long_words_alone_or_together():
+    """A word of any length gets the same pieces, whichever way it is segmented."""
+    model = sentencepiece.load(VOCABULARY)
+    pick = random.Random(9)
+    words = ["".join(pick.choices("etaoinshrdß中é", k=n)) for n in (1, 2, 5, 30, 300, 900)]
+    words += ["ab" * 400, "a" * 700, "internationalisation" * 40, "\x00\x7f" * 50]
+    for word in words:
+        data = np.frombuffer((" " + word).encode(), np.uint8)
+        _, together = sentencepiece._segmented(data[None, :], np.array([len(data)]), model)
+        assert sentencepiece._segmented_alone(data.tobytes(), model).tolist() == together.tolist()
+
+
+def test_a_text_without_spaces_takes_time_in_proportion():
+    model = sentencepiece.load(VOCABULARY)
+    line = "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)).encode()
+    data = np.frombuffer(line + b" and a few words", np.uint8)
+    begin = time.perf_counter()
+    counts, ids = sentencepiece.encode_texts(data, np.array([0, len(data)]), model)
+    assert time.perf_counter() - begin < 30
+    assert counts.tolist() == [len(ids)] and b"".join(model.spelled[i] for i in ids.tolist()) == b" " + data.tobytes()
+
+
+def test_long_texts_and_copies_teach_a_language(spark):
+    """A language whose texts are all long is learned; copies of a text count once."""
+    pick = random.Random(3)
+
+    def prose(words, n):
+        return " ".join(pick.choices(words, k=n))
+
+    german, english = "der die und nicht schön über straße wird".split(), "the and not nice over street will this".split()
+    rows = [(k, prose(german, 12_000), "de") for k in range(3)]
+    rows += [(100 + k, "copy of one short text", "en") for k in range(400)] + [(600 + k, prose(english, 12), "en") for k in range(40)]
+    labelled = spark.createDataFrame([*rows, (1, None, "fr"), (2, "", "fr"), (None, "bonjour", "fr"), (3, "x", None)], "doc_id long, text string, lang string")
+    model = language_id.learn(labelled)
+    assert model.names == ["de", "en"]
+    asked = spark.createDataFrame([(0, prose(german, 9)), (1, prose(english, 9))], "doc_id long, text string")
+    found = asked.select("doc_id", language_id.language_of(spark, F.col("text"), model).alias("p")).orderBy("doc_id").collect()
+    assert [r.p.lang_pred for r in found] == ["de", "en"]
