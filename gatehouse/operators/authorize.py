@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions import policy_checks as P
 from gatehouse.functions.text import fill
-from gatehouse.operators.joins import broadcast_if_small, same_keys
+from gatehouse.operators.joins import broadcast_if_small, row_bytes, same_keys
 from gatehouse.session import stored
 from gatehouse.settings import DEFAULT, Settings
 
@@ -37,12 +37,13 @@ class Rules:
 
 
 def prepare(policy: DataFrame) -> Rules:
-    """Reads three numbers from the policy table: its size, its agents and its largest quota.
+    """Reads four numbers from the policy table: its rows and bytes, its agents and its largest quota.
 
     Two lines for one agent are an error: each call would get two verdicts.
     """
-    rows, agents, most = policy.agg(
-        F.count("*"), F.count_distinct("agent"), F.max("max_calls_per_session")
+    sized = policy.withColumn("_bytes", row_bytes())
+    rows, agents, most, n_bytes = sized.agg(
+        F.count("*"), F.count_distinct("agent"), F.max("max_calls_per_session"), F.sum("_bytes")
     ).first()
     if agents < rows:
         raise ValueError(f"the policy table has {rows} lines for {agents} agents")
@@ -54,7 +55,7 @@ def prepare(policy: DataFrame) -> Rules:
         F.col("deny_path_tags").alias("_tags"),
         F.lit(True).alias("_known"),
     )
-    return Rules(broadcast_if_small(table, rows), max(most or 0, 0))
+    return Rules(broadcast_if_small(table, rows, n_bytes or 0), max(most or 0, 0))
 
 
 def check_calls(calls: DataFrame, rules: Rules) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 10_000
+#: Largest config table that is broadcast, by rows and by the bytes of its rows as JSON.
+SMALL_ROWS, SMALL_BYTES = 10_000, 10_000_000
 
 
-def broadcast_if_small(table: DataFrame, rows: int) -> DataFrame:
-    """Marks a config table for broadcast if it has at most SMALL_ROWS rows.
+def row_bytes() -> Column:
+    """The bytes of a row as JSON, a measure of its size that holds for any columns."""
+    return F.octet_length(F.to_json(F.struct("*"))).cast("long")
+
+
+def broadcast_if_small(table: DataFrame, rows: int, n_bytes: int) -> DataFrame:
+    """Marks a config table for broadcast if it has few rows and few bytes.
 
     A larger one stays unmarked: the join then shuffles, and adaptive execution splits the
     keys that hold too many rows.
     """
-    return F.broadcast(table) if rows <= SMALL_ROWS else table
+    return F.broadcast(table) if rows <= SMALL_ROWS and n_bytes <= SMALL_BYTES else table
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]):

@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gatehouse.operators import authorize as A
+from gatehouse.operators import joins
 from gatehouse.schemas import TOOL_CALLS
 from gatehouse.settings import DEFAULT
 from gatehouse.sources.policy import DEFAULT_POLICY, policy_from_config, read_policy
@@ -247,3 +248,12 @@ def test_several_agents(spark):
     found = A.authorize(spark.createDataFrame(made, TOOL_CALLS), rules, strict=False).orderBy("seq").collect()
     assert [r.allowed for r in found] == [True, False, False, True, False, False, False] + [True] * 30
     assert found[4].reason == "quota de session atteint (2)" and found[5].reason == "quota de session atteint (0)"
+
+
+def test_a_wide_policy_is_not_broadcast(spark, policy, monkeypatch):
+    def hinted():
+        return "broadcast" in A.prepare(policy).table._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted()
+    monkeypatch.setattr(joins, "SMALL_BYTES", 10)
+    assert not hinted()
