@@ -85,11 +85,16 @@ def _rates(posterior: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 
 def rates_column(posterior: Column, steps: np.ndarray) -> Column:
-    @F.arrow_udf("double")
-    def rate(column: pa.Array) -> pa.Array:
-        return pa.array(_rates(_posteriors(column), steps))
+    """The rates of `_rates`, as a column: a task that has a Python worker for the posteriors needs no second one."""
+    if not len(steps):
+        return F.lit(1.0)
+    moves = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
 
-    return rate(posterior)
+    def after(rate: Column, step: Column) -> Column:
+        down = sum((F.element_at(posterior, k + 1) * F.element_at(step, k + 1) for k in range(steps.shape[1])), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - down)
+
+    return F.aggregate(moves, F.lit(1.0), after)
 
 
 def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, whole: int | None = None) -> np.ndarray:
