@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import text_arrays as ta
 from gatehouse.llm.components import components
-from gatehouse.llm.tables import finished
+from gatehouse.llm.tables import emptied, finished
 from gatehouse.session import stored
 
 #: Counters of the frequency table, and slices in which they are summed. Fixed size: 8 MB.
@@ -253,16 +253,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(a, b, na, nb, common) for pairs of classes; each set is made once from its text."""
+    """(a, b, na, nb, common) for pairs of classes, as a table; each set is made once from its text."""
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stored(classes.join(wanted, "sig", "left_semi").select("sig", "rep.doc_id", "rep.rid"), "compared")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = texts.join(ids, ["doc_id", "rid"]).select("sig", "text").dropDuplicates(["sig"])
+    rows = texts.join(few(wanted), ["doc_id", "rid"]).select("sig", "text").dropDuplicates(["sig"])
     sets = stored(rows.mapInArrow(_set_rows(size), "sig long, body binary"), "sets-compared")
     left = sets.select(F.col("sig").alias("a"), F.col("body").alias("body_a"))
     right = sets.select(F.col("sig").alias("b"), F.col("body").alias("body_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "body_a", "body_b")
-    return both.mapInArrow(_compared, "a long, b long, na int, nb int, common long")
+    answers = finished(both.mapInArrow(_compared, "a long, b long, na int, nb int, common long"), "answers")
+    emptied(sets, wanted)
+    return answers
 
 
 def _can_link(percent: int):
@@ -296,7 +297,7 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
         .agg(F.first("na").alias("na"), F.first("nb").alias("nb")),
         "led",
     )
-    compared = finished(_compare(led, texts, classes, size), "answers")
+    compared = _compare(led, texts, classes, size)
     first = _links(compared, percent).select("a", "b")
     groups = components(first)
 
@@ -310,6 +311,7 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
         .withColumn("away", F.when(F.col("a") == F.col("sig"), F.lit(0.0)).otherwise(F.col("away")))
     )
     lists = stored(open_lists.select("token", "sig", "n", "place", "component", "away"), "lists")
+    all_lists = lists
     several = lists.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")
     lists = lists.join(several, "token", "left_semi")
     # The shorter set holds the common shingle in its first block of places.
@@ -325,9 +327,11 @@ def _links_of_classes(index: DataFrame, texts: DataFrame, classes: DataFrame, si
         .agg(F.first("na").alias("na"), F.first("nb").alias("nb")),
         "rest",
     )
+    all_rest = rest
     # A pair with a leader has been compared.
     rest = rest.join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    second = finished(_links(_compare(rest, texts, classes, size), percent).select("a", "b"), "answers")
+    second = _links(_compare(rest, texts, classes, size), percent).select("a", "b")
+    emptied(led, all_lists, all_rest)
     return first.union(second)
 
 
@@ -351,6 +355,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     # Classes are connected by their sets: two sets of one identifier stay two nodes.
     groups = components(_links_of_classes(index, texts, classes, size, percent)).withColumnRenamed("node", "sig")
+    emptied(index)
     grouped = classes.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     first = classes.join(groups, "sig").groupBy("component").agg(F.min("rep").alias("first"))
     grouped = grouped.join(first, "component", "left").withColumn("first", F.coalesce("first", "rep"))
@@ -378,14 +383,22 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, rid) of the rows that are not the first of their component; rid is xxhash64 of the text.
+    """(doc_id, rid) of the rows that are not the first of their component, as a table; rid is xxhash64 of the text.
 
     The first row is the one with the smallest (doc_id, rid). Rows that are linked with nothing
     are first of their own.
     """
     _, rows, classes = _similar(docs, id_col, text_col, size, percent)
     later = rows.join(classes.select("sig", "first"), "sig").filter(F.struct("doc_id", "rid") != F.col("first"))
-    return later.select("doc_id", "rid").distinct()
+    found = finished(later.select("doc_id", "rid").distinct(), "repeated-rows")
+    # Nothing else needs the sets.
+    emptied(rows)
+    return found
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """(doc_id, rid) marked for broadcast if there are at most BROADCAST_ROWS of them, 16 MB."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _common(one: np.ndarray, other: np.ndarray, rows: np.ndarray, others: np.ndarray, shape: tuple[int, int]) -> np.ndarray:

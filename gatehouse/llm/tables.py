@@ -37,3 +37,12 @@ def finished(rows: DataFrame, name: str) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.7)
     return table
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Frees the disk of tables from `stored` that nothing needs any more: each is overwritten by an empty one."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            none = table.sparkSession.createDataFrame([], table.schema)
+            none.coalesce(1).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])

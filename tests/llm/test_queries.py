@@ -13,6 +13,8 @@ from compare import compare, database
 from gatehouse.llm import chat_format, linear, mixing, toxicity
 from gatehouse.llm.oracles import ORACLES
 from gatehouse.llm.queries import QUERIES
+from gatehouse.llm.tables import emptied
+from gatehouse.session import stored
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -126,6 +128,22 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(plain, rate)
 
 
+def test_the_column_of_rates_follows_the_steps(spark):
+    p, steps = np.array([[0.2, 0.8], [1.0, 0.0], [0.0, 1.0]]), np.array([[0.5, -0.25], [1.5, 0.1], [-0.2, 0.3]])
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(p)], "k int, posterior array<double>")
+    found = rows.select("k", mixing.rates_column(F.col("posterior"), steps).alias("rate")).orderBy("k").collect()
+    assert np.allclose([r.rate for r in found], mixing._rates(p, steps))
+    assert {r[0] for r in rows.select(mixing.rates_column(F.col("posterior"), steps[:0])).collect()} == {1.0}
+
+
+def test_emptied_tables_free_their_disk(spark):
+    first, second = (stored(spark.range(n).withColumn("x", F.lit("y")), "freed") for n in (1000, 0))
+    files = first.inputFiles()
+    emptied(first, second)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert spark.read.parquet(files[0].rsplit("/", 1)[0]).count() == 0
+
+
 def test_rates_of_an_empty_domain_and_of_nothing(spark):
     kind = "tokens long, posterior array<double>"
     members = spark.createDataFrame([(10, [1.0, 0.0]), (0, [1.0, 0.0])], kind)
