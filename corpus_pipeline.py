@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import language_id, mixing, sentencepiece
-from gatehouse.llm.jaccard_join import repeated_rows
+from gatehouse.llm.jaccard_join import few, repeated_rows
 from gatehouse.llm.queries import TARGETS, VOCABULARY, held_out
 from gatehouse.llm.suffix_dedup import remove_repeats
 from gatehouse.llm.tables import bounded_batches, finished
@@ -55,10 +55,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bounded_batches(spark)
     key = ["doc_id", "rid"]
     keyed = docs.select(_row(docs), "doc_id", F.xxhash64("text").alias("rid"))
-    gone = finished(repeated_rows(docs.select("doc_id", "text"), size=SHINGLE_WORDS, percent=SIMILARITY).select(*key), "near-duplicates")
+    gone = repeated_rows(docs.select("doc_id", "text"), size=SHINGLE_WORDS, percent=SIMILARITY).select(*key)
     counts = keyed.filter(F.col("doc_id").isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = finished(counts.select(key).join(gone, key, "left_anti"), "repeated-rows")
-    single = keyed.join(gone.union(several), key, "left_anti").select("row")
+    # Texts are shuffled only if there are more of these keys than can be broadcast.
+    single = keyed.join(few(gone.union(several)), key, "left_anti").select("row")
     if several.isEmpty():
         return _back(docs, single)
     least = keyed.join(several, key, "left_semi").groupBy(key).agg(F.min_by("row", F.to_json("row")).alias("row"))
