@@ -112,7 +112,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many sets hold a shingle of each hash class, over all documents."""
     kind = "slice int, counts binary"
-    rows = texts.mapInArrow(_counted(size), kind).groupBy("slice").applyInArrow(_summed, kind).collect()
+    rows = texts.mapInArrow(ta.trimmed(_counted(size)), kind).groupBy("slice").applyInArrow(_summed, kind).collect()
     table = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for row in rows:
         table[row["slice"]] = np.frombuffer(row["counts"], np.int64)
@@ -257,11 +257,11 @@ def _compare(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int)
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stored(classes.join(wanted, "sig", "left_semi").select("sig", "rep.doc_id", "rep.rid"), "compared")
     rows = texts.join(few(wanted), ["doc_id", "rid"]).select("sig", "text").dropDuplicates(["sig"])
-    sets = stored(rows.mapInArrow(_set_rows(size), "sig long, body binary"), "sets-compared")
+    sets = stored(rows.mapInArrow(ta.trimmed(_set_rows(size)), "sig long, body binary"), "sets-compared")
     left = sets.select(F.col("sig").alias("a"), F.col("body").alias("body_a"))
     right = sets.select(F.col("sig").alias("b"), F.col("body").alias("body_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "body_a", "body_b")
-    answers = finished(both.mapInArrow(_compared, "a long, b long, na int, nb int, common long"), "answers")
+    answers = finished(both.mapInArrow(ta.trimmed(_compared), "a long, b long, na int, nb int, common long"), "answers")
     emptied(sets, wanted)
     return answers
 
@@ -343,15 +343,15 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), size))
     sets = stored(
-        texts.mapInArrow(_sets(size, percent, counts), "doc_id long, rid long, n long, sig long, leading array<long>"), "sets"
+        texts.mapInArrow(ta.trimmed(_sets(size, percent, counts)), "doc_id long, rid long, n long, sig long, leading array<long>"), "sets"
     )
     full = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = full.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
     entries = full.agg(F.sum(F.size("leading"))).first()[0] or 0
     bits = max(6, int(entries // 1_000_000).bit_length())
-    sent = full.select("n", "sig", "leading").mapInArrow(_index(bits, percent), _SENT)
-    index = finished(sent.groupBy("bucket").applyInArrow(_shared, _INDEX), "index")
+    sent = full.select("n", "sig", "leading").mapInArrow(ta.trimmed(_index(bits, percent)), _SENT)
+    index = finished(sent.groupBy("bucket").applyInArrow(ta.trimmed_group(_shared), _INDEX), "index")
 
     # Classes are connected by their sets: two sets of one identifier stay two nodes.
     groups = components(_links_of_classes(index, texts, classes, size, percent)).withColumnRenamed("node", "sig")

@@ -358,14 +358,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = numbered.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(6, math.ceil(math.log2(n_bytes / BUCKET_BYTES + 1)))
 
-    first = numbered.mapInArrow(_first_pass(depth, gram, bits), _SENT).groupBy("bucket").applyInArrow(_first_sort, _FOUND)
+    first = numbered.mapInArrow(ta.trimmed(_first_pass(depth, gram, bits)), _SENT).groupBy("bucket").applyInArrow(ta.trimmed_group(_first_sort), _FOUND)
     found = finished(first.groupBy("doc_id", "rid").agg(F.collect_set("code").alias("codes")), "segments")
 
     # The same shuffle of the texts serves the second pass and the result, so both take the
     # same columns and rows from it.
     nothing = F.array().cast("array<long>")
     marked = texts.join(found, ["doc_id", "rid"], "left")
-    second = marked.select("doc_id", "rid", "others", "text", "codes").mapInArrow(_second_pass(depth, bits), _SENT).groupBy("bucket").applyInArrow(_second_sort, _FOUND)
+    second = marked.select("doc_id", "rid", "others", "text", "codes").mapInArrow(ta.trimmed(_second_pass(depth, bits)), _SENT).groupBy("bucket").applyInArrow(ta.trimmed_group(_second_sort), _FOUND)
     more = second.groupBy("doc_id", "rid").agg(F.collect_set("code").alias("more_codes"))
     names = ["doc_id", "others"]
     ready = marked.join(more, ["doc_id", "rid"], "left").select(
@@ -373,4 +373,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     counts = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     kinds = T.StructType([texts.schema["doc_id"], texts.schema["others"], T.StructField("kept", T.BinaryType()), *counts])
-    return ready.mapInArrow(_cut(depth, names, whole_characters), kinds)
+    return ready.mapInArrow(ta.trimmed(_cut(depth, names, whole_characters)), kinds)

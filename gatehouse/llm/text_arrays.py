@@ -5,7 +5,8 @@ Helpers for code that runs inside tasks; nothing here knows Spark. Hashes have 6
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +133,35 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 def owner(offsets: np.ndarray) -> np.ndarray:
     """For each element the number of the text it belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def trim() -> None:
+    """Gives free memory back to the system: a Python worker lives on between stages, with all that it once took."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """Task code over batches that gives its memory back at the end."""
+
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return over_batches
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """Task code over one group that gives its memory back at the end."""
+
+    def over_group(table):
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return over_group
