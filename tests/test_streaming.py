@@ -61,6 +61,25 @@ def test_late_calls_are_marked_and_do_not_count(spark, folder):
     assert found == {5: (True, False), 6: (True, False), 2: (None, True), 7: (True, False), 8: (False, False)}
 
 
+def test_sessions_share_the_state_of_a_bucket(spark, folder):
+    policy = policy_from_config(spark, {"agents": {"a": {"max_calls_per_session": 2}, "b": {}}})
+    calls = [(None if k % 41 == 40 else f"s{k % 41}", k, "ab"[k % 3 == 0], "tool", []) for k in range(400)]
+    frame = spark.createDataFrame(calls, TOOL_CALLS).withColumn("ts", F.lit("t"))
+    parts = [frame.filter(f"seq < 200 OR seq = 399"), frame.filter("seq >= 200 AND seq < 399").union(frame.filter("seq = 399"))]
+    stream = authorize_stream(batches(spark, folder("calls"), parts), policy, buckets=3)
+    found = run(spark, stream, folder("run"))
+    batch = authorize(frame, policy).select("session_id", "seq", "allowed", "reason")
+    # Call 399 comes first in its session, so those behind it are late, as is its repetition.
+    hasty = F.col("session_id").eqNullSafe(frame.filter("seq = 399").first().session_id) & (F.col("agent") == frame.filter("seq = 399").first().agent)
+    assert {(r.seq < 200 or r.late) for r in found.filter(hasty & (F.col("seq") < 399)).collect()} == {True}
+    assert sorted(r.late for r in found.filter("seq = 399").collect()) == [False, True]
+    others = found.filter(~hasty)
+    assert others.filter("late").isEmpty()
+    theirs = batch.join(others.select("seq"), "seq", "left_semi").select("session_id", "seq", "allowed", "reason")
+    assert others.select("session_id", "seq", "allowed", "reason").exceptAll(theirs).isEmpty() and others.count() == theirs.count()
+    assert spark.read.format("statestore").load(f"{folder('run')}/state").count() <= 3
+
+
 def event(i, session):
     return (i, f"t{i}", "a", "tool", "allow", "ok", 1, session, 0, None, None)
 
