@@ -21,10 +21,10 @@ HASHED_FIELDS = (
 MISSING = "None"
 
 
-def payload() -> Column:
-    """Everything that is hashed after the previous hash."""
+def payload(names: tuple[str, ...] = HASHED_FIELDS) -> Column:
+    """Everything that is hashed after the previous hash, or some of its fields in a row."""
     # concat_ws would drop nulls, so each field gets its text first.
-    fields = [F.coalesce(F.col(name).cast("string"), F.lit(MISSING)) for name in HASHED_FIELDS]
+    fields = [F.coalesce(F.col(name).cast("string"), F.lit(MISSING)) for name in names]
     return F.concat_ws("|", *fields)
 
 

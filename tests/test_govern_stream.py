@@ -102,6 +102,16 @@ def test_state_goes_with_the_session_and_a_quota_does_not_come_back(spark, folde
     assert found["t", 101][0] == "allow" and open_sessions(spark, path) == 1
 
 
+def test_sessions_share_the_state_of_a_bucket(spark, folder):
+    parts = [[call(f"s{k % 9}" if k % 9 else None, k, opens=k < 9 and k != 4, ends=k in (23, 32)) for k in range(b * 20, b * 20 + 20)] for b in range(2)]
+    path = run(spark, parts, folder, buckets=1)
+    assert rows_of(spark, path) == one_by_one(parts)
+    # All but s4, which was never opened, and s5, which has ended.
+    assert open_sessions(spark, path) == 7
+    states = spark.read.format("statestore").option("stateVarName", "session").option("flattenCollectionTypes", "false")
+    assert states.load(path.replace("/log", "/state")).count() == 1
+
+
 def open_sessions(spark, path):
     return spark.read.format("statestore").option("stateVarName", "session").load(path.replace("/log", "/state")).count()
 
