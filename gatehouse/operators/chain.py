@@ -120,10 +120,15 @@ def with_previous(
     first row of a block takes the last value of the nearest block before it, which is the same
     question about far fewer rows.
     """
-    # Null and the empty text are told apart.
-    group = F.struct(F.col(within).isNull(), F.coalesce(F.col(within).cast("string"), F.lit(""))) if within else F.lit(0)
-    found = _previous(rows.withColumn("_group", group), key, value, levels, width, bool(within))
-    return found.drop("_group")
+    if not within:
+        return _previous(rows.withColumn("_group", F.lit(0)), key, value, levels, width, False).drop("_group")
+    # Null and the empty text are told apart. The text takes the place of the column, so that rows are
+    # shuffled with one of them.
+    group = F.coalesce(F.concat(F.lit("="), F.col(within).cast("string")), F.lit(""))
+    kind = rows.schema[within].dataType
+    found = _previous(rows.withColumn("_group", group).drop(within), key, value, levels, width, True)
+    own = F.when(F.col("_group") != "", F.substr("_group", F.lit(2))).cast(kind)
+    return found.withColumn(within, own).select(*rows.columns, "previous")
 
 
 def _previous(rows: DataFrame, key: str, value: str, levels: int, width: int, grouped: bool) -> DataFrame:
@@ -133,18 +138,16 @@ def _previous(rows: DataFrame, key: str, value: str, levels: int, width: int, gr
     block = f"_block{levels}"
     blocked = rows.withColumn(block, F.expr(f"{key} div {width}"))
     inner = Window.partitionBy(*group, block).orderBy(key)
-    inside = blocked.withColumns(
-        {"_before": F.lag(value).over(inner), "_ends": F.lead(key).over(inner).isNull()}
-    )
-    # The last row of each block, from the window that is there anyway.
-    last = inside.filter("_ends").select("_group", block, F.col(value).alias("_last"))
+    inside = blocked.withColumn("_before", F.lag(value).over(inner))
+    # The last row of each block, from sums of the tasks: a window would shuffle all rows once more.
+    last = blocked.groupBy("_group", block).agg(F.max_by(value, key).alias("_last"))
     tails = _previous(last, block, "_last", levels - 1, width, grouped).select(
         *group, block, F.col("previous").alias("_tail")
     )
     return (
         inside.join(tails, [*group, block])
         .withColumn("previous", F.coalesce("_before", "_tail"))
-        .drop(block, "_before", "_ends", "_tail")
+        .drop(block, "_before", "_tail")
     )
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,9 @@ def folds():
         for found, waits in linked(batches, "_key", head_at, ()):
             found["_range"] = pa.array([number] * len(waits), pa.int32())
             found["_waits"] = pa.array([number if w else -1 for w in waits], pa.int32())
+            # Only rows that wait are hashed again.
+            for name in ("_start", "_payload"):
+                found[name] = pc.if_else(pa.array(waits, pa.bool_()), found[name], None)
             yield pa.record_batch(found)
 
     def later(heads: dict[int, str | None]):
@@ -119,7 +123,7 @@ def seal_chains(
         rows = _continued(rows, heads, key)
     place = ["_key", order]
     ranged = rows.repartitionByRange(ranges, *place) if ranges else rows.repartitionByRange(*place)
-    extra = [rows.schema[n] for n in ("_key", "_start", "_payload")]
+    extra = [T.StructField(n, T.StringType()) for n in ("_key", "_start", "_payload")]
     full = T.StructType([*fields, *extra, *ADDED, *PLACED])
     path = shared_folder(spark, "chains")
     # The rows of a range that wait lie in a folder of their own.
@@ -172,20 +176,27 @@ def _rounds(written: DataFrame, kind: T.StructType, order: str, path: str) -> li
     return paths
 
 
+def packed(digest: Column) -> Column:
+    """A hash of 64 hex digits as 32 bytes, any other text as more than these: different texts stay different."""
+    other = F.concat(digest.cast("binary"), F.lit(bytes(33)))
+    return F.when(digest.rlike("\\A[0-9a-f]{64}\\z"), F.unhex(digest)).otherwise(other)
+
+
 def with_key_check(log: DataFrame, key: str, order: str = "id") -> DataFrame:
     """`key`, `id` and whether a sealed row is `bad`: its hash, or its link to the row before it in its chain.
 
     `order` is the whole number that orders a chain; it stands as `id` in the result.
     """
+    # The hash is checked before anything moves; the two that are shuffled go as bytes, at half their length.
     own = log.filter(F.col("hash").isNotNull()).select(
         key,
         F.col(order).alias("id"),
-        "prev_hash",
-        "hash",
+        packed(F.col("prev_hash")).alias("prev_hash"),
+        packed(F.col("hash")).alias("hash"),
         F.col("hash").eqNullSafe(event_hash(F.col("prev_hash"), payload())).alias("intact"),
     )
     linked = with_previous(own, "id", "hash", within=key)
-    before = F.coalesce("previous", F.lit(GENESIS))
+    before = F.coalesce("previous", packed(F.lit(GENESIS)))
     return linked.select(key, "id", (~F.col("intact") | ~F.col("prev_hash").eqNullSafe(before)).alias("bad"))
 
 

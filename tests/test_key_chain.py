@@ -89,3 +89,13 @@ def test_damage_is_found(spark):
     assert {k for _, _, k in kinds(log, forged)} == {"edited", "anchor"}
     report = K.verify_keys(log.filter("id NOT IN (31, 59)"), anchored, "session_id").first()
     assert (report.ok, report.checked, report.first_bad_id, report.edited, report.missing) == (False, 58, 34, 1, 1)
+
+
+def test_rows_are_shuffled_once_for_their_links_and_hashes_as_bytes(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31 + "a\n", "", "x", "\0", "0" * 32, bytes.fromhex("61" * 32).decode(), "61" * 32, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(K.packed(F.col("t")).alias("b")).collect()
+    assert len({r.b and bytes(r.b) for r in rows}) == len(texts) and rows[-1].b is None and len(rows[0].b) == 32
+    fields = ", ".join(f"cast({v} AS {t}) AS {n}" for n, t, v in (("id", "long", "id"), ("session_id", "string", "id % 3"), ("hash", "string", "id"), ("prev_hash", "string", "id")))
+    log = spark.range(9).selectExpr(*fields.split(", "), *(f"'x' AS {n}" for n in ("ts", "agent", "tool", "decision", "reason")), "1 AS latency_ms", "0 AS pii_redacted")
+    plan = K.with_key_check(log, "session_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Window [" in line and "_block3" in line]) == 1
