@@ -40,6 +40,8 @@ FEW = 8
 BUCKET_BYTES = 32_000_000
 #: Bytes of text whose segments a task holds at a time.
 HELD_BYTES = 4_000_000
+#: The same for pass three, where every byte may start a window of its own.
+WINDOWED_BYTES = 1_000_000
 
 _FOUND = "doc_id long, rid int, code long"
 _SENT = "bucket int, doc_id long, rid int, code long, body binary"
@@ -182,11 +184,11 @@ def _answer(table: pa.Table, *parts) -> pa.Table:
     return pa.concat_tables([known, *own])
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(rows, bytes, offsets, doc_id, rid) of batches cut down to HELD_BYTES of text."""
+def _held(batches: Iterator[pa.RecordBatch], limit: int = HELD_BYTES) -> Iterator[tuple]:
+    """(rows, bytes, offsets, doc_id, rid) of batches cut down to `limit` bytes of text."""
     for batch in batches:
         _, offsets, _ = ta.flat(batch.column("text"))
-        for a, b in ta.pieces(offsets, HELD_BYTES):
+        for a, b in ta.pieces(offsets, limit):
             rows = batch.slice(a, b - a)
             data, own, _ = ta.flat(rows.column("text"))
             yield rows, data, own, rows.column("doc_id").fill_null(0).to_numpy(), rows.column("rid").to_numpy()
@@ -254,7 +256,7 @@ def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _second_pass(depth: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets, doc_id, rid in _held(batches):
+        for rows, data, offsets, doc_id, rid in _held(batches, WINDOWED_BYTES):
             text, code = _runs(rows.column("codes"))
             text, code = text[code & 1 == 1], code[code & 1 == 1]
             length = _length(code)
