@@ -219,6 +219,6 @@ def language_of(spark, text: Column, model: Languages) -> Column:
 
     @F.arrow_udf(_RESULT)
     def judge(texts: pa.Array) -> pa.Array:
-        return _judge(texts, shared.value)
+        return ta.trimmed_group(lambda own: _judge(own, shared.value))(texts)
 
     return judge(text)

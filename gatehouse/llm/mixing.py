@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatehouse.llm import linear
+from gatehouse.llm import text_arrays as ta
 
 #: Domains of the labelled table, and the condition on its labels.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "low_quality": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
@@ -58,8 +59,7 @@ def membership_of(spark, text: Column, model: Posterior) -> Column:
     shared = spark.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
-    @F.arrow_udf(kind)
-    def judge(texts: pa.Array) -> pa.Array:
+    def member(texts: pa.Array) -> pa.Array:
         own = shared.value
         k = len(own.names)
         tokens, posterior = np.zeros(len(texts), np.int64), np.zeros((len(texts), k))
@@ -68,6 +68,10 @@ def membership_of(spark, text: Column, model: Posterior) -> Column:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(texts) + 1, k), pa.int32()), pa.array(posterior.ravel()))
         return pa.StructArray.from_arrays([pa.array(tokens), lists], names=["tokens", "posterior"])
 
+    @F.arrow_udf(kind)
+    def judge(texts: pa.Array) -> pa.Array:
+        return ta.trimmed_group(member)(texts)
+
     return judge(text)
 
 

@@ -40,7 +40,8 @@ LONG = 2048
 class Pieces:
     """A vocabulary: the bytes of each id, its byte pieces, and a trie with ids and scores.
 
-    `move[256 * node + byte]` is 256 * (next node), 0 if there is none; node 0 is the root.
+    `base[node] + byte` is the next node if its `parent` is that node, else there is none; node 0 is the root.
+    A row of 256 entries for each node would hold sixty megabytes in every Python worker, this is one.
     """
 
     def __init__(self, spelled: list[bytes | None], scores: list[float], byte_ids: np.ndarray):
@@ -59,24 +60,57 @@ class Pieces:
                 at = nodes[at][byte]
             if at not in ends or scores[piece] > scores[ends[at]]:
                 ends[at] = piece
-        move = np.zeros((len(nodes), 256), np.int32)
-        for node, moves in enumerate(nodes):
-            for byte, target in moves.items():
-                move[node, byte] = 256 * target
-        self.move = move.ravel()
-        self.piece = np.full(len(nodes), -1, np.int32)
-        self.score = np.full(len(nodes), -np.inf)
+        place, self.base, self.parent = _placed(nodes)
+        self.piece = np.full(len(self.parent), -1, np.int32)
+        self.score = np.full(len(self.parent), -np.inf)
         for node, piece in ends.items():
-            self.piece[node], self.score[node] = piece, scores[piece]
+            self.piece[place[node]], self.score[place[node]] = piece, scores[piece]
         self.fallback = min((scores[p] for p in ends.values()), default=0.0) - FALLBACK
         self.longest = max((len(spelled[p]) for p in ends.values()), default=1)
         lengths = np.array([len(w or b"") for w in spelled], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(w or b"" for w in spelled), np.uint8)
 
-    def __reduce__(self):
-        # The vocabulary travels, half a megabyte; each worker builds the trie from it.
-        return Pieces, (self.spelled, self.scores, self.byte_ids)
+
+def _placed(nodes: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each node, base of each place, parent of each place or -1) of a trie of bytes.
+
+    The children of a node stand as their bytes are apart, in places that nothing else has. Nodes with
+    several go first, each behind the one before it; only children fill the gaps.
+    """
+    place = np.zeros(len(nodes), np.int32)
+    free, at, parents = np.ones(1 << 16, bool), 1, {}
+    free[0] = False
+    several = sorted((n for n, moves in enumerate(nodes) if len(moves) > 1), key=lambda n: -len(nodes[n]))
+    for node in several:
+        bytes_, children = (np.array(list(x)) for x in (nodes[node].keys(), nodes[node].values()))
+        while True:
+            if at + 1024 > len(free):
+                free = np.concatenate([free, np.ones(len(free), bool)])
+            fits = np.flatnonzero(free[np.arange(at, at + 512)[:, None] + bytes_].all(axis=1))
+            if len(fits):
+                break
+            at += 512
+        at += int(fits[0])
+        place[children] = at + bytes_
+        free[at + bytes_] = False
+        parents[node] = at
+    only = [n for n, moves in enumerate(nodes) if len(moves) == 1]
+    free = np.concatenate([free, np.ones(len(only) + 512, bool)])
+    # A byte is taken off the place to get the base, which is not to fall below 0.
+    gaps = 256 + np.flatnonzero(free[256:])[: len(only)]
+    for node, gap in zip(only, gaps.tolist()):
+        (byte, child), = nodes[node].items()
+        place[child] = gap
+        parents[node] = gap - byte
+    # Behind the last place that is used there are 256 more, so that every byte may be looked up.
+    base = np.zeros(int(place.max(initial=0)) + 257, np.int32)
+    parent = np.full(len(base), -1, np.int32)
+    for node, moves in enumerate(nodes):
+        if moves:
+            base[place[node]] = parents[node]
+            parent[place[list(moves.values())]] = place[node]
+    return place, base, parent
 
 
 def load(path: str, scores: str = "rank") -> Pieces:
@@ -152,10 +186,11 @@ def _segmented(words: np.ndarray, length: np.ndarray, model: Pieces) -> tuple[np
         open_ends = np.flatnonzero(before.any(axis=0)) + 2
         for back_by in [1, *open_ends[open_ends <= model.longest].tolist()]:
             live = np.arange(len(at)) if back_by == 1 else np.flatnonzero(before[:, back_by - 2])
-            state = model.move[byte[live] + (0 if back_by == 1 else before[live, back_by - 2])]
-            going[live, back_by - 1] = state
-            on = np.flatnonzero(state)
-            rows, node = live[on], state[on] >> 8
+            state = np.zeros(len(live), np.int32) if back_by == 1 else before[live, back_by - 2]
+            there = model.base[state] + byte[live]
+            on = np.flatnonzero(model.parent[there] == state)
+            rows, node = live[on], there[on]
+            going[rows, back_by - 1] = node
             ends = np.flatnonzero(model.piece[node] >= 0)
             rows, node = rows[ends], node[ends]
             whole = best[depth - back_by][node_of[depth - back_by][at[rows]]] + model.score[node]
@@ -187,8 +222,8 @@ def _segmented_alone(word: bytes, model: Pieces) -> np.ndarray:
 
     The word is a path in the trie of words. Of equal scores the byte piece goes first, then the shortest.
     """
-    move, piece, score = memoryview(model.move), memoryview(model.piece), memoryview(model.score)
-    spell = memoryview(model.byte_ids)
+    base, parent, spell = memoryview(model.base), memoryview(model.parent), memoryview(model.byte_ids)
+    piece, score = memoryview(model.piece), memoryview(model.score)
     n = len(word)
     best = array("d", [-np.inf]) * (n + 1)
     back, chosen = array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
@@ -200,14 +235,15 @@ def _segmented_alone(word: bytes, model: Pieces) -> np.ndarray:
             best[at + 1], back[at + 1], chosen[at + 1] = whole, 1, spell[word[at]]
         state = end = 0
         for end in range(at, n):
-            state = move[state + word[end]]
-            if not state:
+            there = base[state] + word[end]
+            if parent[there] != state:
                 break
-            if piece[state >> 8] >= 0:
-                whole = here + score[state >> 8]
+            state = there
+            if piece[state] >= 0:
+                whole = here + score[state]
                 # Candidates for an end come from the longest to the shortest.
                 if whole > best[end + 1] or (whole == best[end + 1] and back[end + 1] > end + 1 - at):
-                    best[end + 1], back[end + 1], chosen[end + 1] = whole, end + 1 - at, piece[state >> 8]
+                    best[end + 1], back[end + 1], chosen[end + 1] = whole, end + 1 - at, piece[state]
     found, at = array("i"), n
     while at:
         found.append(chosen[at])
@@ -279,8 +315,7 @@ def encoded(spark, text: Column, model: Pieces) -> Column:
     """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: pa.Array) -> pa.Array:
+    def pieces_of(texts: pa.Array) -> pa.Array:
         data, offsets, valid = ta.flat(texts)
         counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for a, b in ta.pieces(offsets, HELD_BYTES):
@@ -290,6 +325,10 @@ def encoded(spark, text: Column, model: Pieces) -> Column:
         ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array(~valid))
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return ta.trimmed_group(pieces_of)(texts)
+
     return run(text)
 
 

@@ -156,7 +156,7 @@ def trimmed(run: Callable) -> Callable:
 
 
 def trimmed_group(run: Callable) -> Callable:
-    """Task code over one group that gives its memory back at the end."""
+    """Task code over one group, or one batch, that gives its memory back at the end."""
 
     def over_group(table):
         try:
