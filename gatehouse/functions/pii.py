@@ -49,6 +49,10 @@ PII_PATTERNS = (
 
 KINDS = tuple(kind for kind, _ in PII_PATTERNS)
 
+# What a part of a text must hold for a match of these patterns, which never hold a space and see none but as
+# an edge: each part between two spaces can be searched alone, and only those with this text need be.
+WITHIN_SPACES = {dict(PII_PATTERNS)["email"]: "@"}
+
 # What every match of the number patterns begins with: two capitals and two digits, or nine
 # characters of a long number. No mask holds a digit, so a text without either never gets one.
 NUMBER_KINDS = ("iban", "card", "phone")

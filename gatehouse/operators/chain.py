@@ -23,6 +23,8 @@ from gatehouse.functions.event_hash import GENESIS, event_hash, payload
 
 SEGMENT_ROWS = 1024
 FAN = 1024
+#: Rows whose hashes are gathered in one array: the root of the two above.
+PIECE_ROWS = 32
 BLOCK_ROWS = 100_000
 # 2**63 ids make at most 9,224 blocks after three divisions by BLOCK_ROWS.
 LEVELS = 3
@@ -42,14 +44,32 @@ def last_hash(log: DataFrame) -> DataFrame:
 
 
 def running_hashes(rows: Column, start: Column) -> Column:
-    """`start` and then the hash after each of the rows."""
-    return F.aggregate(
-        rows,
-        F.array(start),
-        lambda done, row: F.array_append(
-            done, event_hash(F.element_at(done, F.lit(-1)), row["payload"])
+    """`start` and then the hash after each of the rows.
+
+    An array is copied whenever a hash is added to it. So the hashes grow in pieces, each of which begins with
+    the last hash of the one before, and what is copied per row stays at two short arrays.
+    """
+
+    def last(hashes: Column) -> Column:
+        return F.element_at(hashes, F.lit(-1))
+
+    def sealed(piece: Column, head: Column) -> Column:
+        return F.aggregate(
+            piece,
+            F.array(head),
+            lambda done, row: F.array_append(done, event_hash(last(done), row["payload"])),
+        )
+
+    count = F.size(rows)
+    begins = F.when(count > 0, F.sequence(F.lit(1), count, F.lit(PIECE_ROWS))).otherwise(F.array().cast("array<int>"))
+    pieces = F.aggregate(
+        begins,
+        F.array(F.array(start)),
+        lambda done, at: F.array_append(
+            done, F.slice(sealed(F.slice(rows, at, F.lit(PIECE_ROWS)), last(last(done))), F.lit(2), F.lit(PIECE_ROWS))
         ),
     )
+    return F.flatten(pieces)
 
 
 def seal(

@@ -12,6 +12,7 @@ from gatehouse.functions.pii import (
     NUMBER_KINDS,
     NUMBER_START,
     PII_PATTERNS,
+    WITHIN_SPACES,
     marker,
     may_match,
 )
@@ -27,11 +28,26 @@ def replace_counted(
     Texts for which `likely` is false are known to hold no match.
     """
     before = F.col(column)
-    after = F.regexp_replace(before, F.lit(pattern), F.lit(mark))
+
+    def replaced(text: Column) -> Column:
+        return F.regexp_replace(text, F.lit(pattern), F.lit(mark))
+
+    def counted(text: Column) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    after, found = replaced(before), counted(before)
+    if pattern in WITHIN_SPACES:
+        parts = F.split(before, " ")
+
+        def holds(part: Column) -> Column:
+            return F.contains(part, F.lit(WITHIN_SPACES[pattern]))
+
+        after = F.array_join(F.transform(parts, lambda p: F.when(holds(p), replaced(p)).otherwise(p)), " ")
+        found = F.aggregate(F.filter(parts, holds), F.lit(0), lambda n, p: n + counted(p))
     if likely is not None:
         after = F.when(likely, after).otherwise(before)
     # Only texts that changed are searched a second time, for the count.
-    number = F.when(F.col("_after") == before, 0).otherwise(F.regexp_count(before, F.lit(pattern)))
+    number = F.when(F.col("_after") == before, 0).otherwise(found)
     return (
         rows.withColumn("_after", after)
         .withColumns({count: number, column: F.col("_after")})

@@ -68,7 +68,8 @@ def append_sealed(
     """
     spark = events.sparkSession
     log, anchored = open_log(spark, path), open_anchors(spark, path)
-    numbered = stored(upgrade(with_ids(events, order, last_id(anchored))).select(*COLUMNS), "numbered")
+    # Numbered from rows that `with_ids` has written, so the ids stay as they are when read again.
+    numbered = upgrade(with_ids(events, order, last_id(anchored))).select(*COLUMNS)
     batch = stored(chain.seal(numbered, log, segment_rows).select(*COLUMNS), "sealed")
     append_events(batch, path)
     grown = chain.segment_anchors(batch, segment_rows)

@@ -29,6 +29,9 @@ from gatehouse.settings import DEFAULT, Settings
 # Place of an event within its session; the request comes first, the answer last.
 PLACE = ["session_id", "step_no", "call_no", "phase"]
 
+# Least number of scan tasks per core, so that none waits long for the last.
+TASKS_PER_CORE = 4
+
 
 @dataclass(frozen=True)
 class GovernedRun:
@@ -174,9 +177,16 @@ def with_path(calls: DataFrame) -> DataFrame:
 
 
 def read_documents(documents: DataFrame, calls: DataFrame) -> DataFrame:
-    """The documents that a call reads. A path is a narrow key, and is sent once per task and path."""
+    """The documents that a call reads. A path is a narrow key, and is sent once per task and path.
+
+    Scanning a text costs far more than moving it, and files with few row groups would leave the scan to
+    as few tasks. So the texts are dealt out anew, to some tasks per core at least. The number is given,
+    because adaptive execution joins parts until there is hardly one per core, and a last one runs alone.
+    """
+    spark = documents.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     paths = calls.filter(F.col("_reads").isNotNull()).select(F.col("_reads").alias("path")).distinct()
-    return documents.join(paths, "path", "left_semi")
+    return documents.join(paths, "path", "left_semi").repartition(parts, "path", "text")
 
 
 def judge_documents(documents: DataFrame, settings: Settings) -> DataFrame:

@@ -210,3 +210,15 @@ def test_only_documents_that_are_read_are_judged_and_each_once(spark):
     physical = found.events._jdf.queryExecution().executedPlan().toString()
     assert "_shown" not in physical
     assert found.transcript.filter("content LIKE 'mail%'").count() == 2
+
+
+def test_documents_of_one_row_group_are_judged_by_many_tasks(spark, folder):
+    """A file with one row group is read by one task, but scanning its texts is not left to that."""
+    files = spark.range(400, numPartitions=1).selectExpr("concat('d', id) AS path", "concat('text ', id) AS text")
+    files.write.parquet(folder("docs"))
+    calls = spark.range(300).selectExpr("concat('d', id % 250) AS _reads")
+    found = read_documents(spark.read.parquet(folder("docs")), calls)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 250
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in tasks) < 50

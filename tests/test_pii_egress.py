@@ -92,6 +92,21 @@ PIECES = [
 ]
 
 
+def test_parts_between_spaces_are_put_together_again(spark):
+    """Addresses are looked for in the parts with an @ alone; spaces of any number and kind stay as they are."""
+    texts = {
+        "": "",
+        "  @  a@b.cd ": "  @  [EMAIL_REDACTED] ",
+        "a@b.cd+e@f.gh  x@y": "[EMAIL_REDACTED][EMAIL_REDACTED]  x@y",
+        ".a@b.c-d@e.f\tg@h.i\u00a0j@k.l\n m@n.o.": ".[EMAIL_REDACTED]@e.f\t[EMAIL_REDACTED]\u00a0[EMAIL_REDACTED]\n [EMAIL_REDACTED].",
+        "a@b .c a @b.c a@ b.c": "a@b .c a @b.c a@ b.c",
+    }
+    found = redact(spark, list(texts))
+    assert [r.text for r in found] == list(texts.values())
+    email = re.compile(DIALECT["email"])
+    assert [r.n_email for r in found] == [len(email.findall(t)) for t in texts]
+
+
 def test_same_as_python_on_hostile_texts(spark):
     pick = random.Random(7)
     texts = ["".join(pick.choices(PIECES, k=pick.randint(1, 7))) for _ in range(4000)]
